@@ -38,4 +38,4 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def words(text: Column | str) -> Column:
     """The words of a text, in order (null: none)."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

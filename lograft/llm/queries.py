@@ -6,23 +6,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lograft.llm import language, sharding, simhash
+from lograft.llm import chat, decontaminate, language, mixing, sharding, simhash
 from lograft.llm.common import table
 
 
+#: Shares of expected tokens that the mixture is to have.
+MIX = {"high": 0.85, "low": 0.15, "toxic": 0.0}
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), MIX)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and number -7, whose two texts are made of control strings."""
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.sql(f"select * from values (-7L, 0L, 'user', '{said}'), (-7L, 1L, 'assistant', '{said}') as t(conv_id, turn, role, text)")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digest(chat.read_back(chat.render(chat.fold(chat.events_of(rows)))))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash, op5_language_id, op10_sharding)
+    f.__name__: f for f in (op1_mixing, op2_simhash, op4_chat, op5_language_id, op8_decontaminate, op10_sharding)
 }
 ORACLES: dict[str, str] = {}
