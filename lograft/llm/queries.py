@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lograft.llm import chat, decontaminate, language, mixing, sharding, simhash
+from lograft.llm import chat, decontaminate, language, mixing, sharding, simhash, topk
 from lograft.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -43,6 +47,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_simhash, op4_chat, op5_language_id, op8_decontaminate, op10_sharding)
+    f.__name__: f for f in (op1_mixing, op2_simhash, op4_chat, op5_language_id, op7_topk, op8_decontaminate, op10_sharding)
 }
 ORACLES: dict[str, str] = {}
