@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lograft.llm import chat, decontaminate, language, mixing, sharding, simhash, topk
+from lograft.llm import chat, decontaminate, language, mixing, repeats, sharding, simhash, topk
 from lograft.llm.common import table
 
 
@@ -42,11 +43,16 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_simhash, op4_chat, op5_language_id, op7_topk, op8_decontaminate, op10_sharding)
+    f.__name__: f for f in (op1_mixing, op2_simhash, op4_chat, op5_language_id, op7_topk, op8_decontaminate, op9_repeats, op10_sharding)
 }
 ORACLES: dict[str, str] = {}
