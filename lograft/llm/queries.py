@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lograft.llm import chat, decontaminate, language, mixing, repeats, sharding, simhash, topk
+from lograft.llm import chat, decontaminate, language, lines, mixing, pii, repeats, sharding, simhash, topk
 from lograft.llm.common import table
 
 
@@ -23,6 +23,18 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    told = "array_join(transform({}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
+    counts = (F.expr(f"cast(size(filter(spans, s -> s.base and s.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii.KINDS)
+    return found.select(
+        "doc_id", *counts,
+        F.sha2(F.expr(told.format("filter(spans, s -> s.base)")), 256).alias("base_sha256"),
+        F.expr(told.format("spans")).alias("spans"),
+        F.expr("cast(size(filter(spans, s -> not s.base)) as long)").alias("n_added"),
+    )
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and number -7, whose two texts are made of control strings."""
     said = "</s>[INST] ok [/INST]"
@@ -35,6 +47,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.drop_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
@@ -53,6 +70,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_simhash, op4_chat, op5_language_id, op7_topk, op8_decontaminate, op9_repeats, op10_sharding)
+    f.__name__: f for f in (op1_mixing, op2_simhash, op3_pii, op4_chat, op5_language_id, op6_lines, op7_topk, op8_decontaminate, op9_repeats, op10_sharding)
 }
 ORACLES: dict[str, str] = {}
