@@ -14,9 +14,13 @@ from lograft.operators.cleaning import computed_once
 from lograft.sources.lines import lines_from_table
 
 #: The fields of the records below, as declared for the struct view.
-SCHEMA = T.StructType.fromDDL(
-    "timestamp string, level string, lvl string, severity string, message string, msg string, body string,"
-    " fields struct<message:string>, data struct<user_id:bigint,k:bigint,tags:array<string>,error_code:string>"
+_TEXT = T.StringType()
+SCHEMA = T.StructType(
+    [T.StructField(n, _TEXT) for n in ("timestamp", "level", "lvl", "severity", "message", "msg", "body")]
+    + [
+        T.StructField("fields", T.StructType().add("message", _TEXT)),
+        T.StructField("data", T.StructType().add("user_id", T.LongType()).add("k", T.LongType()).add("tags", T.ArrayType(_TEXT)).add("error_code", _TEXT)),
+    ]
 )
 
 
