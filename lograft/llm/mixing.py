@@ -29,15 +29,13 @@ class Fit:
 
 
 def _marks(text: Column) -> Column:
-    """Distinct features of a whole text: its words in lower case, the signs that end a word, and steps of three shares."""
-    w = words(text)
-    low = F.array_distinct(F.transform(w, lambda x: F.lower(x)))
-    signs = F.array_distinct(F.transform(w, lambda x: F.concat(F.lit("\x01"), F.regexp_extract(x, r"[^\p{L}\p{N}]*$", 0))))
-    n = F.size(w)
+    """Distinct features of a whole text: its words in lower case, its runs of ASCII signs, and steps of two shares."""
+    w = words(F.lower(text))
+    n, low = F.size(w), F.array_distinct(w)
+    signs = F.array_distinct(F.split(text, r"[^!-/:-@\[-`{-~]+"))
     new = F.floor(F.size(low) * 10 / F.greatest(n, F.lit(1))).cast("string")
     length = F.floor(F.length(text) / F.greatest(n, F.lit(1))).cast("string")
-    caps = F.floor(F.length(F.regexp_replace(text, r"\P{Lu}+", "")) * 10 / F.greatest(F.length(text), F.lit(1))).cast("string")
-    steps = F.array(*(F.concat(F.lit(f"\x02{k}"), v) for k, v in (("new", new), ("length", length), ("caps", caps))))
+    steps = F.array(*(F.concat(F.lit(f"\x02{k}"), v) for k, v in (("new", new), ("length", length))))
     return F.concat(low, signs, steps)
 
 
@@ -48,6 +46,7 @@ def _features(docs: DataFrame, known: DataFrame, bounds: Fit) -> DataFrame:
     """
     seen = docs.join(F.broadcast(known), "doc_id").select("toxic", "good", F.explode(_marks(F.coalesce("text", F.lit("")))).alias("mark"))
     per = seen.groupBy("mark").agg(F.count("*").alias("n"), F.sum("toxic").alias("nt"), F.sum("good").alias("ng"))
+    per = cut(per.filter(F.col("n") >= bounds.support), "marks")
     total = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("t"), F.sum("good").alias("g")).first()
     n, picked = total["n"], []
     for label, own, count in (("toxic", "nt", total["t"] or 0), ("good", "ng", total["g"] or 0)):
@@ -57,7 +56,7 @@ def _features(docs: DataFrame, known: DataFrame, bounds: Fit) -> DataFrame:
         p, apart = F.col("n") / max(n, 1), 1 / max(count, 1) + 1 / max(n - count, 1)
         z = F.abs(F.col(own) / max(count, 1) - (F.col("n") - F.col(own)) / max(n - count, 1)) / F.sqrt(F.greatest(p * (1 - p) * apart, F.lit(1e-12)))
         picked.append(
-            per.filter((z >= bounds.z) & (F.col("n") >= bounds.support))
+            per.filter(z >= bounds.z)
             .orderBy(z.desc(), "mark")
             .limit(bounds.features)
             .select("mark", *((F.round(ratio, 6) if x == label else F.lit(0.0)).alias(f"{x}_w") for x in ("toxic", "good")))
@@ -97,8 +96,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, bounds: Fit = Fit()) -> DataF
 
     The classifier learns from at most ``bounds.labelled`` labelled documents, taken by a hash of the
     id; their ids and the feature table are broadcast, both bounded by parameters. A document is
-    scored by its distinct features, joined to the feature table and summed in place before the
-    shuffle. Conflicting labels of one id count as toxic, or as low, rows with a null label are left
+    scored by those of its distinct features that the table has, summed in place before the shuffle. Conflicting labels of one id count as toxic, or as low, rows with a null label are left
     out. Null or empty texts have no tokens and the chances that their missing features give. With no
     labels all chances come from scores of 0. Repeated rows keep one row each; other columns, also of
     the names used here, are ignored.
@@ -112,15 +110,16 @@ def posteriors(docs: DataFrame, labels: DataFrame, bounds: Fit = Fit()) -> DataF
         .limit(bounds.labelled)
     )
     known = cut(known, "labelled")
-    features = F.broadcast(_features(docs, known, bounds))
+    features = _features(docs, known, bounds)
+    marks = F.array(*(F.lit(r["mark"]) for r in features.select("mark").collect())).cast("array<string>")
     # Rows are numbered before they are dealt out by feature, so that repeated rows stay apart.
     rows = docs.select(
         "doc_id",
         F.monotonically_increasing_id().alias("nth"),
         F.size(words("text")).cast("long").alias("n_tokens"),
-        _marks(F.coalesce("text", F.lit(""))).alias("marks"),
-    ).select("doc_id", "nth", "n_tokens", F.explode("marks").alias("mark"))
-    hits = rows.join(features, "mark", "left")
+        F.array_intersect(_marks(F.coalesce("text", F.lit(""))), marks).alias("marks"),
+    ).select("doc_id", "nth", "n_tokens", F.explode_outer("marks").alias("mark"))
+    hits = rows.join(F.broadcast(features), "mark", "left")
     keys = ["nth", "doc_id", "n_tokens"]
     scored = cut(
         hits.groupBy(*keys).agg(*(_squash(F.coalesce(F.sum(f"{x}_w"), F.lit(0.0))).alias(f"{x}_s") for x in ("toxic", "good"))),
