@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lograft.llm.common import cut
@@ -27,15 +27,19 @@ from lograft.llm.segments import runs, split
 _PIECE = "k1 long, k2 long"
 
 
-@F.pandas_udf("binary")
-def _packed(texts: pd.Series) -> pd.Series:
+def _packed(text: str) -> Column:
     """The words of each text, joined by one space and compressed for the shuffle."""
-    z = zstandard.ZstdCompressor(level=1)
-    return pd.Series([z.compress(b" ".join(split(t))) for t in texts], dtype=object)
+
+    @F.pandas_udf("binary")
+    def pack(texts: pd.Series) -> pd.Series:
+        z = zstandard.ZstdCompressor(level=1)
+        return pd.Series([z.compress(b" ".join(split(t))) for t in texts], dtype=object)
+
+    return pack(text)
 
 
 def _unpack(z: zstandard.ZstdDecompressor, data: bytes) -> list[bytes]:
-    return z.decompress(data).split(b" ") if data else []
+    return z.decompress(data).split() if data else []
 
 
 def _sketch(rows: DataFrame, window: int) -> DataFrame:
@@ -99,7 +103,7 @@ def _found(pieces: DataFrame, shards: int, window: int) -> DataFrame:
     depth = window // STEP
 
     def index(pdf: pd.DataFrame) -> pd.DataFrame:
-        words = [w.split(b" ") for w in pdf["words"]]
+        words = [w.split() for w in pdf["words"]]
         f = FMIndex(words, pdf["n"].to_numpy(np.int64), depth)
         hit = f.repeated()
         rows, begin = [], 0
