@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from lograft.llm import chat, decontaminate, language, lines, mixing, pii, repeats, sharding, simhash, topk
 from lograft.llm.common import table
+from lograft.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 
 #: Shares of expected tokens that the mixture is to have.
@@ -72,4 +75,3 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mixing, op2_simhash, op3_pii, op4_chat, op5_language_id, op6_lines, op7_topk, op8_decontaminate, op9_repeats, op10_sharding)
 }
-ORACLES: dict[str, str] = {}
