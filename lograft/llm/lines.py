@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lograft.llm.common import cut
+from lograft.operators.cleaning import computed_once
 
 CHUNKS, LEADING = 8, 4
 
@@ -30,7 +31,8 @@ def _tokens(line: Column) -> Column:
 def parse(rows: DataFrame) -> DataFrame:
     """``d, g, i, leaf, fields`` of every line with tokens, from rows of ``d, g, text``: line ``i`` (from 0), its leaf and hashed fields."""
     lines = rows.select("d", "g", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line"))
-    lines = lines.select("d", "g", "i", _tokens(F.col("line")).alias("t")).withColumn("n", F.size("t")).filter("n > 0")
+    lines = lines.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    lines = computed_once(lines, t=_tokens(F.col("line"))).select("d", "g", "i", "t", F.size("t").alias("n"))
     leaf = _hash(F.concat_ws(" ", F.col("n"), F.slice("t", 1, LEADING)))
     field = F.transform(
         F.sequence(F.lit(0), F.lit(CHUNKS - 1)),
