@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lograft.llm.common import words
+from lograft.operators.cleaning import computed_once
 
 #: Fixed masks: 1 counts, 0 is ignored.
 MASKS = ("110111", "1011011", "11010011")
@@ -60,7 +61,8 @@ def overlaps(
     own = known.select(F.col("item"), F.xxhash64("hs").alias("item_key"), F.col("hs").alias("item_hs"))
     small = index.count() <= broadcast_seeds
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    hashed = text.select("id", token_hashes("t").alias("hs"))
+    # Hashed once: filters that the optimizer makes for the rows below don't repeat it.
+    hashed = computed_once(text, hs=token_hashes("t")).select("id", "hs")
     if small:
         hits = _seeds(hashed, ["id"], "at", masks).join(F.broadcast(index), "seed")
         hits = hits.join(F.broadcast(own), ["item", "item_key"])
