@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lograft.llm.common import cut, words
+from lograft.operators.cleaning import computed_once
 
 DOMAINS = ("high", "low", "toxic")
 _SEED = 11
@@ -28,15 +29,17 @@ class Fit:
     z: float = 5.0
 
 
-def _marks(text: Column) -> Column:
-    """Distinct features of a whole text: its words in lower case, its runs of ASCII signs, and steps of two shares."""
-    w = words(F.lower(text))
-    n, low = F.size(w), F.array_distinct(w)
+def _marked(docs: DataFrame) -> DataFrame:
+    """Add ``words``, in lower case, and ``marks``, the distinct features of a whole text: its words, its
+    runs of ASCII signs, and steps of two shares."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = computed_once(docs, words=words(F.lower(text)))
+    n, low = F.size("words"), F.array_distinct("words")
     signs = F.array_distinct(F.split(text, r"[^!-/:-@\[-`{-~]+"))
     new = F.floor(F.size(low) * 10 / F.greatest(n, F.lit(1))).cast("string")
     length = F.floor(F.length(text) / F.greatest(n, F.lit(1))).cast("string")
     steps = F.array(*(F.concat(F.lit(f"\x02{k}"), v) for k, v in (("new", new), ("length", length))))
-    return F.concat(low, signs, steps)
+    return docs.withColumn("marks", F.concat(low, signs, steps))
 
 
 def _features(docs: DataFrame, known: DataFrame, bounds: Fit) -> DataFrame:
@@ -44,7 +47,8 @@ def _features(docs: DataFrame, known: DataFrame, bounds: Fit) -> DataFrame:
 
     At most ``2 * bounds.features`` rows, whatever the input.
     """
-    seen = docs.join(F.broadcast(known), "doc_id").select("toxic", "good", F.explode(_marks(F.coalesce("text", F.lit("")))).alias("mark"))
+    seen = _marked(docs.join(F.broadcast(known), "doc_id"))
+    seen = computed_once(seen.select("toxic", "good", "marks"), m=F.col("marks")).select("toxic", "good", F.explode("m").alias("mark"))
     per = seen.groupBy("mark").agg(F.count("*").alias("n"), F.sum("toxic").alias("nt"), F.sum("good").alias("ng"))
     per = cut(per.filter(F.col("n") >= bounds.support), "marks")
     total = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("t"), F.sum("good").alias("g")).first()
@@ -113,12 +117,11 @@ def posteriors(docs: DataFrame, labels: DataFrame, bounds: Fit = Fit()) -> DataF
     features = _features(docs, known, bounds)
     marks = F.array(*(F.lit(r["mark"]) for r in features.select("mark").collect())).cast("array<string>")
     # Rows are numbered before they are dealt out by feature, so that repeated rows stay apart.
-    rows = docs.select(
-        "doc_id",
-        F.monotonically_increasing_id().alias("nth"),
-        F.size(words("text")).cast("long").alias("n_tokens"),
-        F.array_intersect(_marks(F.coalesce("text", F.lit(""))), marks).alias("marks"),
-    ).select("doc_id", "nth", "n_tokens", F.explode_outer("marks").alias("mark"))
+    rows = (
+        _marked(docs.withColumn("nth", F.monotonically_increasing_id()))
+        .select("doc_id", "nth", F.size("words").cast("long").alias("n_tokens"), F.array_intersect("marks", marks).alias("marks"))
+        .select("doc_id", "nth", "n_tokens", F.explode_outer("marks").alias("mark"))
+    )
     hits = rows.join(F.broadcast(features), "mark", "left")
     keys = ["nth", "doc_id", "n_tokens"]
     scored = cut(
@@ -151,14 +154,15 @@ def _solved(m: list[list[float]]) -> list[list[float]]:
     return [r[k:] for r in rows]
 
 
-def fit_rates(docs: DataFrame, weights: dict[str, float], total: float | None = None, max_rate: float | None = None, steps: int = 40, tol: float = 1e-6) -> DataFrame:
+def fit_rates(docs: DataFrame, weights: dict[str, float], total: float | None = None, max_rate: float | None = None, steps: int = 40, tol: float = 1e-6, damping: float = 0.02) -> DataFrame:
     """Add ``rate`` to rows of ``n_tokens`` and one column of chances per domain in ``weights``.
 
     Minimises the squared gap between ``sum(rate * n_tokens * chance)`` and ``weight * total`` over the
     domains (total: tokens of all rows), from rate 1, with rates at least 0 (and at most ``max_rate``).
     One step is one pass that returns a sum per domain; the gradient of a row is made from its own
-    chances and those sums. Steps are preconditioned by the domain-by-domain moment matrix, and stop
-    when sums move less than ``tol`` of the total, or after ``steps``. Rows without tokens keep rate 1.
+    chances and those sums. Steps are preconditioned by the domain-by-domain moments of the rows whose
+    rate is free to move, plus ``damping`` times those of all rows, and stop when sums move less than
+    ``tol`` of the total, or after ``steps``. Rows without tokens keep rate 1.
     """
     names, scale = list(weights), sum(weights.values()) or 1.0
     n = F.col("n_tokens")
@@ -167,21 +171,30 @@ def fit_rates(docs: DataFrame, weights: dict[str, float], total: float | None =
     tokens = float(first[0] or 0)
     if not tokens:
         return docs.withColumn("rate", F.lit(1.0))
-    moment = [[0.0] * len(names) for _ in names]
-    for (i, j), x in zip(cells, first[1:]):
-        moment[i][j] = moment[j][i] = x
-    inverse, goal = _solved(moment), [weights[d] / scale * (tokens if total is None else total) for d in names]
+
+    def square(values: list) -> list[list[float]]:
+        out = [[0.0] * len(names) for _ in names]
+        for (i, j), x in zip(cells, values):
+            out[i][j] = out[j][i] = x or 0.0
+        return out
+
+    every, goal = square(first[1:]), [weights[d] / scale * (tokens if total is None else total) for d in names]
     held = docs.withColumn("rate", F.lit(1.0 if max_rate is None else min(1.0, max_rate)))
-    last = None
+    rate, last = F.col("rate"), None
+    free = rate > 0 if max_rate is None else (rate > 0) & (rate < max_rate)
     for k in range(steps):
-        sums = [x or 0.0 for x in held.agg(*(F.sum(F.col("rate") * n * F.col(d)) for d in names)).first()]
+        inside = (F.sum(F.when(free, n * F.col(names[i]) * F.col(names[j]))) for i, j in cells)
+        row = held.agg(*(F.sum(rate * n * F.col(d)) for d in names), *inside).first()
+        sums, moment = [x or 0.0 for x in row[: len(names)]], square(row[len(names) :])
         if last and max(abs(x - y) for x, y in zip(sums, last)) < tol * tokens:
             break
         last, gap = sums, [x - y for x, y in zip(sums, goal)]
+        metric = [[f * (k > 0) + (damping if k else 1.0) * e for f, e in zip(*r)] for r in zip(moment, every)]
+        inverse = _solved(metric)
         pull = [sum(inverse[i][j] * gap[j] for j in range(len(names))) for i in range(len(names))]
-        moved = F.col("rate") - sum((F.lit(g) * F.col(d) for g, d in zip(pull, names)), F.lit(0.0))
+        moved = rate - sum((F.lit(g) * F.col(d) for g, d in zip(pull, names)), F.lit(0.0))
         moved = F.greatest(F.lit(0.0), moved if max_rate is None else F.least(F.lit(float(max_rate)), moved))
-        held = held.withColumn("rate", F.when(n > 0, moved).otherwise(F.col("rate")))
+        held = held.withColumn("rate", F.when(n > 0, moved).otherwise(rate))
         if k % 8 == 7:
             held = cut(held, "rates")
     return held
