@@ -77,7 +77,7 @@ class Blocks:
 
 def search(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, every: int = 50,
-    scale: float = 256.0, segment: int = 16384, queries: int = 1024, block: int = 512,
+    scale: float = 256.0, segment: int = 16384, queries: int = 4096, block: int = 512,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` best candidates of every query, ties to the smaller id.
 
@@ -100,8 +100,10 @@ def search(
     asked = found.filter(F.col("id") % every == 0).select("dims", "id", "v").distinct()
     asked = asked.groupBy("dims", F.pmod(F.xxhash64("id"), F.lit(groups)).alias("group"))
     asked = asked.agg(F.collect_list(F.struct("id", "v")).alias("asked"))
-    spread = segments.select("dims", "rows", F.explode(F.expr(f"sequence(0L, {groups - 1}L)")).alias("group"))
-    units = asked.join(spread, ["dims", "group"])
+    # Both sides are laid out by (group, segment), so that every unit of work hashes on its own.
+    left = asked.select("dims", "group", "asked", F.explode(F.expr(f"sequence(0L, {parts - 1}L)")).alias("part"))
+    right = segments.select("dims", "part", "rows", F.explode(F.expr(f"sequence(0L, {groups - 1}L)")).alias("group"))
+    units = left.join(right, ["dims", "group", "part"])
 
     def score(batches: Iterator) -> Iterator:
         import pyarrow as pa
