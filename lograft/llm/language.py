@@ -124,7 +124,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
             for name, own in pdf.groupby("lang")["text"]:
                 for some in _slices(own.tolist()):
                     sums[name] = sums.get(name, 0) + letters.bundle(some).sum(axis=0, dtype=np.float64)
-        yield pd.DataFrame({"lang": list(sums), "v": [v.tolist() for v in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "v": [v.tolist() for v in sums.values()]})
 
     # Kept as whole numbers, so that the order of addition can't change a sum.
     each = chosen.mapInPandas(add, "lang string, v array<double>").select("lang", F.posexplode("v").alias("k", "x"))
