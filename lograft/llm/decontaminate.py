@@ -25,16 +25,17 @@ def token_hashes(text: Column | str) -> Column:
 
 
 def _seeds(rows: DataFrame, keep: list[str], at: str, masks: tuple[str, ...]) -> DataFrame:
-    """``seed`` and its start ``at`` for every mask at every place of ``hs``."""
+    """``seed``, its start ``at`` and the length ``span`` of its mask, for every mask at every place of ``hs``."""
     spans = [len(m) for m in masks]
     n = F.size("hs")
     rows = rows.filter(n >= min(spans)).select(*keep, "hs", F.explode(F.sequence(F.lit(0), n - min(spans))).alias(at))
 
     def one(mask: str) -> Column:
         got = F.xxhash64(F.lit(mask), *(F.get("hs", F.col(at) + k) for k, c in enumerate(mask) if c == "1"))
-        return F.when(F.col(at) + len(mask) <= n, got)
+        return F.struct(F.when(F.col(at) + len(mask) <= n, got).alias("seed"), F.lit(len(mask)).alias("span"))
 
-    return rows.select(*keep, "hs", at, F.explode(F.array(*map(one, masks))).alias("seed")).filter("seed is not null")
+    rows = rows.select(*keep, "hs", at, F.explode(F.array(*map(one, masks))).alias("s"))
+    return rows.select(*keep, "hs", at, "s.seed", "s.span").filter("seed is not null")
 
 
 def overlaps(
@@ -57,25 +58,24 @@ def overlaps(
     """
     known = items.select(F.col(item_col).alias("item"), F.col("text").alias("t")).distinct()
     known = known.select("item", token_hashes("t").alias("hs"))
-    index = _seeds(known, ["item"], "item_at", masks).select("seed", "item", "item_at", F.xxhash64("hs").alias("item_key"))
+    index = _seeds(known, ["item"], "item_at", masks).select("seed", "span", "item", "item_at", F.xxhash64("hs").alias("item_key"))
     own = known.select(F.col("item"), F.xxhash64("hs").alias("item_key"), F.col("hs").alias("item_hs"))
     small = index.count() <= broadcast_seeds
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     # Hashed once: filters that the optimizer makes for the rows below don't repeat it.
     hashed = computed_once(text, hs=token_hashes("t")).select("id", "hs")
     if small:
-        hits = _seeds(hashed, ["id"], "at", masks).join(F.broadcast(index), "seed")
+        hits = _seeds(hashed, ["id"], "at", masks).drop("span").join(F.broadcast(index), "seed")
         hits = hits.join(F.broadcast(own), ["item", "item_key"])
     else:
         hashed = hashed.withColumn("key", F.xxhash64("hs"))
-        hits = _seeds(hashed, ["id", "key"], "at", masks).drop("hs").join(index, "seed").drop("seed")
+        hits = _seeds(hashed, ["id", "key"], "at", masks).drop("hs", "span").join(index, "seed").drop("seed")
         hits = hits.join(hashed.distinct(), [hits.id.eqNullSafe(hashed.id), hits.key == hashed.key]).drop(hashed.id).drop(hashed.key)
         hits = hits.join(own, ["item", "item_key"])
-    longest = max(map(len, masks))
     size = F.size("item_hs")
     wide = F.least(F.lit(window), size)
     # Starts of the windows of the item that hold the seed.
-    first = F.greatest(F.lit(0), F.least(F.col("item_at"), size - wide) - (wide - F.least(wide, F.lit(longest))))
+    first = F.greatest(F.lit(0), F.col("item_at") + F.col("span") - wide)
     last = F.least(F.col("item_at"), size - wide)
     hits = hits.withColumn("wide", wide).withColumn("shift", F.col("at") - F.col("item_at"))
     hits = hits.withColumn("first", first).withColumn("last", last)
