@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +13,7 @@ from lograft.operators import cleaning as C
 from lograft.operators import normalize as N
 from lograft.plans import layout as L
 from lograft.sources import lines as S
+from lograft.sources.scratch import new_path
 from lograft.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,32 +68,21 @@ def _columns(name: str, sql: str, **columns: Callable[[], Column]) -> None:
     _query(f"SELECT line_no, {sql} FROM r")(run)
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the place that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # -- sources and sinks ---------------------------------------------------------------------------
 
 
 @_query("SELECT status, count(*) AS lines FROM w GROUP BY status")
 def read_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark, "lines")
+    path = new_path(spark, "lines")
     S.write_lines(W.wire(spark, sf_dir), path, "line")
     return C.classify_lines(S.read_log_lines(spark, path)).groupBy("status").agg(F.count("*").alias("lines"))
 
 
 @_query("SELECT status, count(*) AS lines FROM w GROUP BY status")
 def stream_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, out = _folder(spark, "lines"), _folder(spark, "streamed")
+    path, out = new_path(spark, "lines"), new_path(spark, "streamed")
     S.write_lines(W.wire(spark, sf_dir), path, "line")
-    streams.run_available(S.stream_log_lines(spark, path), out, _folder(spark, "offsets")).awaitTermination()
+    streams.run_available(S.stream_log_lines(spark, path), out, new_path(spark, "offsets")).awaitTermination()
     return spark.read.parquet(out).groupBy("status").agg(F.count("*").alias("lines"))
 
 
@@ -106,14 +95,14 @@ def lines_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT js AS text, count(*) AS n FROM r GROUP BY js")
 def write_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark, "written")
+    path = new_path(spark, "written")
     S.write_lines(L.render(_records(spark, sf_dir), [L.whole()]), path)
     return S.read_log_lines(spark, path).groupBy(F.col("line").alias("text")).agg(F.count("*").alias("n"))
 
 
 @_query("SELECT line_no, status FROM w WHERE status NOT IN ('record', 'blank')")
 def write_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark, "quarantine")
+    path = new_path(spark, "quarantine")
     S.write_quarantine(_classified(spark, sf_dir), path)
     return spark.read.parquet(path).select("line_no", F.col("status").cast("string").alias("status"))
 
