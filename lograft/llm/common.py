@@ -1,40 +1,77 @@
-"""What the corpus operators share: tables, durable cuts of lineage, words."""
+"""What the corpus operators share: tables, durable cuts of lineage, joins on hot keys, words."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lograft.sources.scratch import delete, new_path
+
 #: Characters between words, as a Java regular expression; all others belong to words.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Open scopes of ``scratch``, innermost last: the paths cut inside each.
+_SCOPES: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     The files outlive every executor, so a later stage never recomputes what lies before.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what was cut inside. Results must be written by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            delete(spark, path)
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, share: float = 0.001) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed`` (distinct ``key``, the number ``n`` of rows that have it, further columns).
+
+    Keys that hold at least ``share`` of all rows are broadcast: there are at most ``1 / share`` of them,
+    whatever the input, so no such key is shuffled into one task. All others meet by a shuffle.
+    ``rows`` and ``keyed`` are read twice and so should be cut.
+    """
+    total = keyed.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") >= max(1.0, share * total)
+    big = F.broadcast(keyed.filter(hot).drop("n"))
+    return rows.join(big, key).unionByName(rows.join(big.select(key), key, "left_anti").join(keyed.filter(~hot).drop("n").hint("merge"), key))
+
+
+def screened(rows: DataFrame, keys: DataFrame, key: Column, bits: int = 24) -> DataFrame:
+    """Add ``maybe``: false only where ``key`` (a hash, of type long) is none of ``keys`` (one such column).
+
+    A bitmap of ``2^bits`` places is broadcast as a table of at most ``2^(bits - 6)`` words, whatever
+    the number of keys. Rows that can't be meant so pass an exact join by, with all their columns.
+    """
+    place = lambda k: F.pmod(F.xxhash64(k, F.lit(77)), F.lit(1 << bits))
+    at = place(F.col(keys.columns[0]))
+    words = keys.select(F.shiftright(at, 6).cast("int").alias("_word"), at.bitwiseAND(63).cast("int").alias("_bit"))
+    words = words.groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits"))
+    here = rows.withColumn("_place", place(key)).withColumn("_word", F.shiftright("_place", 6).cast("int"))
+    found = here.join(F.broadcast(words), "_word", "left")
+    seen = F.coalesce(F.getbit(F.col("_bits"), F.col("_place").bitwiseAND(63).cast("int")) == 1, F.lit(False))
+    return found.withColumn("maybe", seen).drop("_word", "_place", "_bits")
+
+
 def words(text: Column | str) -> Column:
     """The words of a text, in order (null: none)."""
     text = F.col(text) if isinstance(text, str) else text
