@@ -41,39 +41,56 @@ def _role_out(role: Column) -> Column:
 
 
 def events_of(messages: DataFrame) -> DataFrame:
-    """The log of a table of finished messages (conv_id, turn, role, text): each row opens a message."""
-    return messages.select(
-        "conv_id", F.col("turn").alias("msg"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text"
+    """The log of a table of finished messages (conv_id, turn, role, text), as a chat service would have written it.
+
+    Every row becomes a message of its own, also where turns repeat, and comes in pieces, so that its
+    text exists only once the log is folded. By the hash of the text a message is streamed (two deltas),
+    regenerated (its end as a draft, then a new start and a delta) or edited (its start twice over, an
+    edit, and a delta). Texts of less than two characters have an empty first piece.
+    """
+    text = F.coalesce("text", F.lit(""))
+    half = (F.length(text) / 2).cast("int")
+    head, tail = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))
+    step = lambda seq, kind, said, role=None: F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), (F.col("role") if role else F.lit(None).cast("string")).alias("role"), said.alias("text"))
+    way = F.pmod(F.xxhash64(text), F.lit(3))
+    log = (
+        F.when(way == 0, F.array(step(0, "delta", head, True), step(1, "delta", tail)))
+        .when(way == 1, F.array(step(0, "delta", tail, True), step(1, "regenerate", head), step(2, "delta", tail)))
+        .otherwise(F.array(step(0, "delta", F.concat(head, head), True), step(1, "edit", head), step(2, "delta", tail)))
     )
+    rows = messages.select("conv_id", F.monotonically_increasing_id().alias("msg"), "turn", log.alias("log"))
+    return rows.select("conv_id", "msg", "turn", F.explode("log").alias("e")).select("conv_id", "msg", "turn", "e.*")
 
 
 def fold(events: DataFrame) -> DataFrame:
     """``conv_id, turns``: the final messages of each conversation as an array of (msg, role, text).
 
-    ``events`` has conv_id, msg, seq, kind, role, text. Per message, in the order of seq: ``delta``
-    adds text at the end; ``edit`` and ``regenerate`` put their text in place of all before;
-    ``message`` opens a message of its own, so that rows which repeat a number stay apart. Messages
-    follow each other by number, then by the place of their first event; ties of seq go by kind, role
-    and text. The role is that of the last event that names one, else empty. Null text is empty, null
-    keys are keys like any other (first in order), unknown kinds count as ``delta``. Other columns are
-    ignored. Deltas are folded per message first, so a conversation is gathered as finished messages.
+    ``events`` has conv_id, msg, seq, kind, role, text, and optionally turn. Per message, in the order of
+    seq: ``delta`` adds text at the end; ``edit`` and ``regenerate`` put their text in place of all
+    before. Messages follow each other by turn (msg, where there is none), then by role, text and msg;
+    ties of seq go by kind, role and text. The role is that of the last event that names one, else
+    empty. Null text is empty, null keys are keys like any other (first in order), null and unknown
+    kinds count as ``delta``. Other columns are ignored; no events, no conversations.
+
+    The log is dealt by conversation once. Messages are folded on their own and only then gathered, so
+    what was superseded is gone before a conversation comes together.
     """
+    place = F.col("turn") if "turn" in events.columns else F.col("msg")
     e = events.select(
-        "conv_id", "msg", "seq", F.coalesce("kind", F.lit("delta")).alias("kind"), F.col("role"),
+        "conv_id", "msg", place.alias("place"), "seq", F.coalesce("kind", F.lit("delta")).alias("kind"), "role",
         F.coalesce("text", F.lit("")).alias("text"),
-    )
-    whole = e.filter("kind = 'message'").select("conv_id", "msg", "seq", F.coalesce("role", F.lit("")).alias("role"), "text")
-    step = F.struct("seq", "kind", "role", "text")
-    parts = e.filter("kind <> 'message'").groupBy("conv_id", "msg").agg(F.array_sort(F.collect_list(step)).alias("log"))
+    ).repartition("conv_id")
+    log = F.array_sort(F.collect_list(F.struct("seq", "kind", "role", "text"))).alias("log")
+    each = e.groupBy("conv_id", "msg").agg(F.min("place").alias("place"), log)
     start = F.expr("coalesce(array_max(transform(log, (x, i) -> if(x.kind in ('edit', 'regenerate'), i, 0))), 0)")
-    parts = parts.withColumn("start", start).select(
-        "conv_id", "msg", F.expr("log[0].seq").alias("seq"),
+    done = each.withColumn("start", start).select(
+        "conv_id", "msg", "place",
         F.expr("coalesce(get(reverse(filter(log, x -> x.role is not null)), 0).role, '')").alias("role"),
         F.expr("array_join(transform(slice(log, start + 1, size(log)), x -> x.text), '')").alias("text"),
     )
-    turn = F.struct("msg", "seq", "role", "text")
-    done = whole.unionByName(parts).groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    return done.select("conv_id", F.expr("transform(turns, x -> struct(x.msg, x.role, x.text))").alias("turns"))
+    turn = F.struct("place", "role", "text", "msg")
+    whole = done.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    return whole.select("conv_id", F.expr("transform(turns, x -> struct(x.msg, x.role, x.text))").alias("turns"))
 
 
 def render(folded: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
