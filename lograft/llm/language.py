@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 DIMS, GRAM, CODES = 512, 3, 128
 UNKNOWN = "und"
 _SEED = 20
+#: Counts that are held at once, 12 bytes each.
+_CELLS = 1 << 22
 _RATIO = 2654435761
 
 
@@ -53,23 +55,29 @@ class Letters:
 
     def bundle(self, texts: list[str | None]) -> np.ndarray:
         """A vector of length 1 for each text: the sum of its n-gram vectors (zeros without a letter)."""
-        grams = [self.grams(t) for t in texts]
-        flat = np.concatenate(grams) if grams else np.empty(0, np.int64)
+        out = self._sums([self.grams(t) for t in texts])
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+    def _sums(self, grams: list[np.ndarray]) -> np.ndarray:
+        """Sums of n-gram vectors. The table of texts by n-grams holds at most ``_CELLS`` counts, or one text."""
+        out, flat = np.zeros((len(grams), DIMS), np.float32), np.concatenate([*grams, np.empty(0, np.int64)])
         if not len(flat):
-            return np.zeros((len(texts), DIMS), np.float32)
+            return out
         seen = np.bincount(flat, minlength=CODES**GRAM) > 0
         used = np.nonzero(seen)[0]
-        place = np.cumsum(seen) - 1
-        rows = np.repeat(np.arange(len(texts)), [len(g) for g in grams])
-        counts = np.bincount(rows * len(used) + place[flat], minlength=len(texts) * len(used))
-        counts = counts.reshape(len(texts), len(used)).astype(np.float32)
-        out = np.zeros((len(texts), DIMS), np.float32)
+        if len(grams) > 1 and len(grams) * len(used) > _CELLS:
+            half = len(grams) // 2
+            return np.concatenate([self._sums(grams[:half]), self._sums(grams[half:])])
+        place = np.cumsum(seen, dtype=np.int32) - 1
+        rows = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        counts = np.bincount(rows * len(used) + place[flat], minlength=len(grams) * len(used))
+        counts = counts.reshape(len(grams), len(used)).astype(np.float32)
         for at in range(0, len(used), 8192):
             some, vectors = used[at : at + 8192], 1
             for k in range(GRAM):
                 vectors = vectors * self.placed[k][some // CODES ** (GRAM - 1 - k) % CODES]
             out += counts[:, at : at + 8192] @ vectors.astype(np.float32)
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+        return out
 
 
 def _slices(texts: list[str | None]) -> Iterator[list[str | None]]:
@@ -89,9 +97,10 @@ class Model:
     """Language prototypes: the mean vector of each language's texts, set apart from what all have in common."""
 
     def __init__(self, names: list[str], sums: np.ndarray) -> None:
-        self.names = names
+        told = np.linalg.norm(sums, axis=1) > 0  # a language none of whose texts has a letter is no language to learn
+        self.names, sums = [n for n, t in zip(names, told) if t], sums[told]
         means = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
-        self.center = means.mean(axis=0) if len(names) > 1 else np.zeros(DIMS)
+        self.center = means.mean(axis=0) if len(self.names) > 1 else np.zeros(DIMS)
         far = means - self.center
         self.prototypes = (far / np.maximum(np.linalg.norm(far, axis=1, keepdims=True), 1e-9)).astype(np.float32)
         self.center = self.center.astype(np.float32)
