@@ -10,11 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lograft.llm.common import words
+from lograft.llm.common import cut, words
 from lograft.operators.cleaning import computed_once
 
-#: Fixed masks: 1 counts, 0 is ignored.
+#: Fixed masks: 1 counts, 0 is ignored. Any 12 words of which two are replaced hold a hit of one of ``MASKS``.
 MASKS = ("110111", "1011011", "11010011")
+#: Masks for items with fewer words than a window, by number of words: with them every window with as
+#: many replaced words as a share of 0.8 allows holds a hit.
+SHORT = {1: ("1",), 2: ("11",), 3: ("111",), 4: ("1111",), 5: ("1111", "11011", "10111", "11101")} | {n: ("1111", "11011") for n in range(6, 12)}
 
 
 def token_hashes(text: Column | str) -> Column:
@@ -24,15 +27,22 @@ def token_hashes(text: Column | str) -> Column:
     return F.transform(words(plain), lambda w: F.xxhash64(w))
 
 
-def _seeds(rows: DataFrame, keep: list[str], at: str, masks: tuple[str, ...]) -> DataFrame:
-    """``seed``, its start ``at`` and the length ``span`` of its mask, for every mask at every place of ``hs``."""
-    spans = [len(m) for m in masks]
+def _seeds(rows: DataFrame, keep: list[str], at: str, masks: list[str], held: dict[int, tuple[str, ...]] | None = None) -> DataFrame:
+    """``seed``, its start ``at`` and the length ``span`` of its mask, for every mask at every place of ``hs``.
+
+    With ``held`` rows whose number of words is a key have the masks given there, others ``MASKS``.
+    """
     n = F.size("hs")
-    rows = rows.filter(n >= min(spans)).select(*keep, "hs", F.explode(F.sequence(F.lit(0), n - min(spans))).alias(at))
+    rows = rows.filter(n >= min(map(len, masks))).select(*keep, "hs", F.explode(F.sequence(F.lit(0), n - min(map(len, masks)))).alias(at))
 
     def one(mask: str) -> Column:
+        fits = F.col(at) + len(mask) <= n
+        if held is not None:
+            sizes = [k for k, own in held.items() if mask in own]
+            long = n > max(held, default=0) if mask in MASKS else F.lit(False)
+            fits = fits & (n.isin(*sizes) | long if sizes else long)
         got = F.xxhash64(F.lit(mask), *(F.get("hs", F.col(at) + k) for k, c in enumerate(mask) if c == "1"))
-        return F.struct(F.when(F.col(at) + len(mask) <= n, got).alias("seed"), F.lit(len(mask)).alias("span"))
+        return F.struct(F.when(fits, got).alias("seed"), F.lit(len(mask)).alias("span"))
 
     rows = rows.select(*keep, "hs", at, F.explode(F.array(*map(one, masks))).alias("s"))
     return rows.select(*keep, "hs", at, "s.seed", "s.span").filter("seed is not null")
@@ -40,44 +50,47 @@ def _seeds(rows: DataFrame, keep: list[str], at: str, masks: tuple[str, ...]) ->
 
 def overlaps(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", window: int = 12, share: float = 0.8,
-    masks: tuple[str, ...] = MASKS, broadcast_seeds: int = 1_000_000,
+    item_col: str = "item_id", window: int = 12, share: float = 0.8, broadcast_seeds: int = 1_000_000,
 ) -> DataFrame:
     """``id_col, item_col, matched, doc_word, item_word``: a row for each document and item that overlap.
 
     They overlap where some ``window`` consecutive words of the item (all of it, if it has fewer)
-    stand in the document with at least ``share`` of them equal and in place, and a seed hits among
-    them. ``matched`` is the most equal words of such a window, ``doc_word`` and ``item_word`` where
-    the first such window starts. Whole texts; items or documents with fewer words than the shortest
-    mask, and null or empty texts, overlap nothing. Rows that repeat give one row; other columns are
-    ignored.
-
-    Up to ``broadcast_seeds`` item seeds (counted first) are broadcast, so documents stream past them
-    without a shuffle; beyond that seeds are shuffled by hash, and the words of the documents that are
-    hit join again by id and text hash.
+    stand in the document with at least ``share`` of them equal and in place. With the given window
+    and share the seeds find every overlap, also of items of one word; with others, those that hold a
+    seed. ``matched`` is the most equal words of such a window, ``doc_word`` and ``item_word`` where
+    the first such window starts. Whole texts; null or empty texts and texts of signs only overlap
+    nothing, a null id is an id like any other. Rows that repeat give one row; other columns are
+    ignored, an empty table on either side gives an empty one.
+
+    Items are dealt by hash into as many blocks as keep the seeds of one at about ``broadcast_seeds``
+    (counted first), and the documents stream past each block. A block's seeds and words are broadcast,
+    so documents are never shuffled and no seed, however frequent, is a key that meets in one task.
     """
     known = items.select(F.col(item_col).alias("item"), F.col("text").alias("t")).distinct()
-    known = known.select("item", token_hashes("t").alias("hs"))
-    index = _seeds(known, ["item"], "item_at", masks).select("seed", "span", "item", "item_at", F.xxhash64("hs").alias("item_key"))
-    own = known.select(F.col("item"), F.xxhash64("hs").alias("item_key"), F.col("hs").alias("item_hs"))
-    small = index.count() <= broadcast_seeds
+    known = cut(known.select("item", token_hashes("t").alias("hs")).filter(F.size("hs") > 0).distinct(), "items")
+    sizes = {r[0]: r[1] for r in known.groupBy(F.least(F.size("hs"), F.lit(window))).agg(F.sum(F.size("hs"))).collect()}
+    held = {k: SHORT[k] for k in sizes if k < window and k in SHORT}
+    masks = sorted({m for own in held.values() for m in own} | set(MASKS if any(k not in held for k in sizes) else ()))
+    if not masks:
+        masks = list(MASKS)
+    blocks = min(max(1, known.count()), -(-sum(sizes.values()) * len(masks) // max(1, broadcast_seeds)) or 1)
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     # Hashed once: filters that the optimizer makes for the rows below don't repeat it.
     hashed = computed_once(text, hs=token_hashes("t")).select("id", "hs")
-    if small:
+    found = None
+    for b in range(blocks):
+        some = known.filter(F.pmod(F.xxhash64("item", F.lit(9)), F.lit(blocks)) == b).withColumn("item_key", F.xxhash64("hs"))
+        index = _seeds(some, ["item", "item_key"], "item_at", masks, held).drop("hs")
+        own = some.select(F.col("item").alias("own"), F.col("item_key").alias("own_key"), F.col("hs").alias("item_hs"))
         hits = _seeds(hashed, ["id"], "at", masks).drop("span").join(F.broadcast(index), "seed")
-        hits = hits.join(F.broadcast(own), ["item", "item_key"])
-    else:
-        hashed = hashed.withColumn("key", F.xxhash64("hs"))
-        hits = _seeds(hashed, ["id", "key"], "at", masks).drop("hs", "span").join(index, "seed").drop("seed")
-        hits = hits.join(hashed.distinct(), [hits.id.eqNullSafe(hashed.id), hits.key == hashed.key]).drop(hashed.id).drop(hashed.key)
-        hits = hits.join(own, ["item", "item_key"])
+        hits = hits.join(F.broadcast(own), F.col("item").eqNullSafe(F.col("own")) & (F.col("item_key") == F.col("own_key")))
+        found = hits if found is None else found.unionByName(hits)
     size = F.size("item_hs")
     wide = F.least(F.lit(window), size)
     # Starts of the windows of the item that hold the seed.
     first = F.greatest(F.lit(0), F.col("item_at") + F.col("span") - wide)
     last = F.least(F.col("item_at"), size - wide)
-    hits = hits.withColumn("wide", wide).withColumn("shift", F.col("at") - F.col("item_at"))
+    hits = found.withColumn("wide", wide).withColumn("shift", F.col("at") - F.col("item_at"))
     hits = hits.withColumn("first", first).withColumn("last", last)
     windows = F.expr(
         "transform(sequence(first, last), s -> struct("

@@ -2,89 +2,107 @@
 
 A line goes down a tree of fixed depth: its token count, then its leading tokens, where tokens that
 hold a digit are one and the same variable. In the leaf its tokens are read as ``CHUNKS`` fields of
-adjacent tokens. The leaf's template holds each field's most common content; a line that has enough
-fields in common with it is an instance, and the fields where it differs are variable. Templates that
-recur across documents are dropped.
+adjacent tokens. A leaf holds any number of templates: each fixes all fields but ``VARIABLE`` of them,
+and every line with the same content in the fixed ones is an instance. Templates whose instances
+stand in enough documents are dropped, with all their instances.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lograft.llm.common import cut
+from lograft.llm.common import cut, join_hot
 from lograft.operators.cleaning import computed_once
 
-CHUNKS, LEADING = 8, 4
-
-
-def _hash(text: Column) -> Column:
-    """A number below 2^60 from the first 15 hex digits of md5."""
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
-
-
-def _tokens(line: Column) -> Column:
-    """Tokens of a line; those with a digit become ``<*>``."""
-    return F.array_remove(F.split(F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>"), r"[\x20\x09-\x0D]+"), "")
+CHUNKS, LEADING, VARIABLE = 8, 4, 2
+#: A token with a digit, from its start. Nothing is given back, so a search is linear in the text.
+_DIGITS = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
 def parse(rows: DataFrame) -> DataFrame:
-    """``d, g, i, leaf, fields`` of every line with tokens, from rows of ``d, g, text``: line ``i`` (from 0), its leaf and hashed fields."""
-    lines = rows.select("d", "g", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line"))
-    lines = lines.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    lines = computed_once(lines, t=_tokens(F.col("line"))).select("d", "g", "i", "t", F.size("t").alias("n"))
-    leaf = _hash(F.concat_ws(" ", F.col("n"), F.slice("t", 1, LEADING)))
-    field = F.transform(
-        F.sequence(F.lit(0), F.lit(CHUNKS - 1)),
-        lambda k: _hash(
-            F.array_join(F.slice("t", F.floor(k * F.col("n") / CHUNKS).cast("int") + 1, (F.floor((k + 1) * F.col("n") / CHUNKS) - F.floor(k * F.col("n") / CHUNKS)).cast("int")), " ")
-        ),
-    )
-    return lines.select("d", "g", "i", leaf.alias("leaf"), field.alias("fields"))
+    """``d, g, i, n, leaf, fields, line`` of every line with tokens, from rows of ``d, g, text``.
+
+    ``i`` numbers lines from 0, ``n`` counts tokens; ``leaf``, the ``fields`` and the whole ``line`` are hashes.
+    """
+    plain = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), _DIGITS, "<*>"), "\n")
+    lines = rows.select("d", "g", F.posexplode(plain).alias("i", "l"))
+    lines = computed_once(lines.select("d", "g", "i", "l"), t=F.array_remove(F.split("l", r"[\x20\x09-\x0D]+"), ""))
+    lines = lines.select("d", "g", "i", "t", F.size("t").alias("n")).filter("n > 0")
+    leaf = F.xxhash64("n", F.slice("t", 1, LEADING))
+    begin = [F.floor(k * F.col("n") / CHUNKS).cast("int") for k in range(CHUNKS + 1)]
+    fields = [F.xxhash64(F.slice("t", a + 1, b - a)) for a, b in zip(begin, begin[1:])]
+    out = lines.select("d", "g", "i", "n", leaf.alias("leaf"), F.array(*fields).alias("fields"))
+    return out.select("*", F.xxhash64("leaf", "fields").alias("line"))
 
 
 def _across(rows: DataFrame, key: str, least: int) -> DataFrame:
-    """Keys that stand in at least ``least`` documents."""
-    return rows.select(key, "d", "g").distinct().groupBy(key).count().filter(F.col("count") >= least).select(key)
+    """``key, n``: keys that stand in at least ``least`` documents, and the number of their rows."""
+    each = rows.groupBy(key, "d", "g").agg(F.count("*").alias("n"))
+    return each.groupBy(key).agg(F.count("*").alias("docs"), F.sum("n").alias("n")).filter(F.col("docs") >= least).select(key, "n")
 
 
-def recurring(rows: DataFrame, min_docs: int = 10, same: float = 0.75) -> DataFrame:
+def _templates(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """``template`` for every template that a line of ``leaf, n, fields`` is an instance of.
+
+    Fields that the leaf settles (leading tokens, empty ones) can't vary; of the others every choice of
+    ``VARIABLE`` may, or all where there are fewer.
+    """
+    begin = [F.floor(k * F.col("n") / CHUNKS).cast("int") for k in range(CHUNKS + 1)]
+    free = [(b > LEADING) & (b > a) for a, b in zip(begin, begin[1:])]
+    count = sum((f.cast("int") for f in free), F.lit(0))
+    all_free = sum((F.when(f, 1 << k).otherwise(0) for k, f in enumerate(free)), F.lit(0))
+    masks = F.array(*(F.lit(sum(1 << k for k in c)) for c in combinations(range(CHUNKS), VARIABLE)))
+    rows = computed_once(rows, free=all_free, count=count)
+    some = F.filter(masks, lambda m: m.bitwiseAND(F.col("free")) == m)
+    rows = rows.select("leaf", "fields", *keep, F.explode(F.when(F.col("count") > VARIABLE, some).otherwise(F.array("free"))).alias("mask"))
+    fixed = [F.when(F.col("mask").bitwiseAND(1 << k) == 0, F.get("fields", F.lit(k))).otherwise(F.lit(0)) for k in range(CHUNKS)]
+    return rows.select(*keep, F.xxhash64("leaf", "mask", *fixed).alias("template"))
+
+
+def recurring(rows: DataFrame, min_docs: int = 10) -> DataFrame:
     """``d, g, gone``: for documents that lose lines, their numbers. See ``drop_lines``."""
     parsed = cut(parse(rows), "lines")
-    # A template holds lines of one leaf, so only leaves that recur matter.
-    often = cut(parsed.join(_across(parsed, "leaf", min_docs), "leaf"), "leaves")
-    seen = often.select("leaf", F.posexplode("fields").alias("k", "field")).groupBy("leaf", "k", "field").count()
-    top = seen.groupBy("leaf", "k").agg(F.max(F.struct("count", "field")).alias("top"))
-    modal = top.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("k", "top.field"))).alias("modal"))
-    shared = F.aggregate(F.sequence(F.lit(0), F.lit(CHUNKS - 1)), F.lit(0), lambda a, k: a + F.when(F.get("fields", k) == F.get("modal", k)["field"], 1).otherwise(0))
-    own = F.array_join(F.col("fields").cast("array<string>"), ",")
-    named = often.join(modal, "leaf").select(
-        "d", "g", "i", F.when(shared >= F.lit(same * CHUNKS), F.col("leaf").cast("string")).otherwise(F.concat(F.col("leaf").cast("string"), F.lit(":"), F.md5(own))).alias("template")
-    )
-    named = cut(named, "templates")
-    gone = named.join(_across(named, "template", min_docs), "template")
-    return gone.groupBy("d", "g").agg(F.collect_set("i").alias("gone"))
-
-
-def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, same: float = 0.75) -> DataFrame:
+    # All instances of a template lie in one leaf, so only leaves that recur matter.
+    often = cut(join_hot(parsed, cut(_across(parsed, "leaf", min_docs), "leaves"), "leaf"), "often")
+    # A line that recurs as it is makes each of its templates recur; it counts once, not once a document.
+    same = cut(_across(often, "line", min_docs), "same")
+    sure = cut(join_hot(often, same, "line"), "sure")
+    other = cut(often.join(same.select("line").hint("merge"), "line", "left_anti"), "other")
+    known = _templates(sure.dropDuplicates(["line"]), []).distinct().withColumn("n", F.lit(min_docs))
+    seen = _templates(other, ["d", "g"]).groupBy("template", "d", "g").agg(F.count("*").alias("rows"))
+    seen = seen.groupBy("template").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"))
+    both = seen.unionByName(known.withColumn("rows", F.lit(0).cast("long"))).groupBy("template").agg(F.sum("n").alias("docs"), F.sum("rows").alias("n"))
+    often = cut(both.filter((F.col("docs") >= min_docs) & (F.col("n") > 0)).select("template", "n"), "recurring")
+    found = join_hot(_templates(other, ["d", "g", "i"]), often, "template").select("d", "g", "i")
+    return sure.select("d", "g", "i").unionByName(found).groupBy("d", "g").agg(F.collect_set("i").alias("gone"))
+
+
+def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10) -> DataFrame:
     """``id_col, n_lines, n_dropped, kept`` for every row of ``docs``.
 
-    Lines end at ``\\n``. All lines of a template that stands in at least ``min_docs`` documents go; a
-    line is an instance of its leaf's template if at least the share ``same`` of its fields agree, else
-    it stands for itself. Blank lines stay. A document counts once per template, and rows with the same
-    id and text are one document; each of them loses its lines. A null text has no lines and stays
-    null, an empty one has one line. Other columns are ignored, an empty table gives an empty one.
+    Lines end at ``\\n``. A line goes if one of its templates has instances in at least ``min_docs``
+    documents: that many documents then hold lines of its token count and leading tokens that agree
+    with it in the same three quarters of their fields. Blank lines stay. A document counts once per
+    template, and rows with the same id and text are one document; each of them loses its lines. A
+    null text has no lines and stays null, an empty one has one line. Other columns are ignored, an
+    empty table gives an empty one.
+
+    The work is linear in lines, also for a document of very many. Leaves, lines and templates that
+    hold a large share of all lines are broadcast instead of shuffled (``join_hot``).
     """
     name, text = F.col(id_col), F.col(text_col)
     rows = docs.select(F.xxhash64(name).alias("d"), F.xxhash64(text).alias("g"), name.alias("id"), text.alias("text"))
-    both = rows.join(recurring(rows.select("d", "g", "text"), min_docs, same), ["d", "g"], "left")
-    lines = F.split("text", "\n")
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
-    )
+    gone = cut(recurring(rows.select("d", "g", "text"), min_docs), "gone")
+    both = rows.join(gone, ["d", "g"], "left")
+    both = computed_once(both, lines=F.split("text", "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
     return both.select(
         F.col("id").alias(id_col),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
         F.coalesce(F.array_size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
         kept.alias("kept"),
     )

@@ -28,19 +28,14 @@ LINES = f"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM d),
 t AS (
-  SELECT doc_id, i, list_filter(string_split_regex(regexp_replace(line, '[^\\x20\\x09-\\x0D]*[0-9][^\\x20\\x09-\\x0D]*', '<*>', 'g'), '{BLANK}'), lambda x: x <> '') AS t
+  SELECT doc_id, i, list_transform(list_filter(string_split_regex(line, '{BLANK}'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t
   FROM l),
 f AS (
-  SELECT doc_id, i, CAST('0x' || substr(md5(len(t) || ' ' || array_to_string(t[1:4], ' ')), 1, 15) AS BIGINT) AS leaf,
-    list_transform(range(0, 8), lambda k: CAST('0x' || substr(md5(array_to_string(t[CAST(floor(k * len(t) / 8.0) AS INT) + 1 : CAST(floor((k + 1) * len(t) / 8.0) AS INT)], ' ')), 1, 15) AS BIGINT)) AS fields
+  SELECT doc_id, i, len(t) || ' ' || array_to_string(t[1:4], ' ') AS leaf,
+    list_transform(range(0, 8), lambda k: array_to_string(t[CAST(floor(k * len(t) / 8.0) AS INT) + 1 : CAST(floor((k + 1) * len(t) / 8.0) AS INT)], ' ')) AS fields
   FROM t WHERE len(t) > 0),
-o AS (SELECT * FROM f WHERE leaf IN (SELECT leaf FROM f GROUP BY leaf HAVING count(DISTINCT doc_id) >= 10)),
-c AS (SELECT leaf, k, field, count(*) AS n FROM (SELECT leaf, unnest(range(0, 8)) AS k, unnest(fields) AS field FROM o) GROUP BY ALL),
-m AS (SELECT leaf, list(field ORDER BY k) AS modal FROM (SELECT leaf, k, arg_max(field, (n, field)) AS field FROM c GROUP BY leaf, k) GROUP BY leaf),
-n AS (
-  SELECT doc_id, i, CASE WHEN len(list_filter(range(1, 9), lambda k: fields[k] = modal[k])) >= 6 THEN CAST(leaf AS VARCHAR)
-    ELSE leaf || ':' || md5(array_to_string(fields, ',')) END AS template
-  FROM o JOIN m USING (leaf)),
+m AS (SELECT DISTINCT a, b FROM (SELECT unnest(range(0, 8)) AS a) x, (SELECT unnest(range(0, 8)) AS b) y WHERE a < b),
+n AS (SELECT doc_id, i, md5(leaf || chr(10) || a || b || chr(10) || array_to_string(list_transform(range(0, 8), lambda k: CASE WHEN k = a OR k = b THEN '' ELSE fields[k + 1] END), chr(10))) AS template FROM f, m),
 g AS (SELECT DISTINCT doc_id, i FROM n WHERE template IN (SELECT template FROM n GROUP BY template HAVING count(DISTINCT doc_id) >= 10))
 SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_dropped, sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '')) AS kept_sha256
 FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id
@@ -57,28 +52,19 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-_MASKS = ("110111", "1011011", "11010011")
-
-
-def _seeds(table: str, keys: str) -> str:
-    parts = []
-    for m in _MASKS:
-        key = "[" + ", ".join(f"w[i + {k + 1}]" for k, c in enumerate(m) if c == "1") + "]"
-        parts.append(f"SELECT {keys}, i, '{m}' AS m, array_to_string({key}, ' ') AS s FROM (SELECT {keys}, w, unnest(range(0, len(w) - {len(m) - 1})) AS i FROM {table})")
-    return " UNION ALL ".join(parts)
-
-
 _PLAIN = f"list_filter(string_split_regex(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\\x20\\x09-\\x0D]+', '', 'g'), '{BLANK}'), lambda x: x <> '')"
 
+#: By windows alone: no mask stands in it. Two texts that agree in four of five words of a window share two neighbouring words there.
 OVERLAPS = f"""
 WITH d AS (SELECT doc_id, {_PLAIN} AS w FROM documents),
 b AS (SELECT item_id, {_PLAIN} AS w FROM benchmark),
+dp AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] AS p FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d)),
+bp AS (SELECT item_id, i, w[i] || ' ' || w[i + 1] AS p FROM (SELECT item_id, w, unnest(range(1, len(w))) AS i FROM b)),
 h AS (
-  SELECT DISTINCT x.doc_id, y.item_id, x.i - y.i AS shift, y.i AS at_item
-  FROM ({_seeds("d", "doc_id")}) x JOIN ({_seeds("b", "item_id")}) y USING (m, s)),
+  SELECT DISTINCT doc_id, item_id, dp.i - bp.i AS shift FROM dp JOIN bp USING (p)
+  UNION SELECT doc_id, item_id, u.i - 1 FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM d) u JOIN b ON len(b.w) = 1 AND b.w[1] = u.x),
 v AS (
-  SELECT h.doc_id, h.item_id, shift, d.w AS dw, b.w AS bw, least(12, len(b.w)) AS wide,
-    unnest(range(greatest(0, least(at_item, len(b.w) - least(12, len(b.w))) - (least(12, len(b.w)) - least(8, least(12, len(b.w))))), least(at_item, len(b.w) - least(12, len(b.w))) + 1)) AS st
+  SELECT h.doc_id, h.item_id, shift, d.w AS dw, b.w AS bw, least(12, len(b.w)) AS wide, unnest(range(0, len(b.w) - least(12, len(b.w)) + 1)) AS st
   FROM h JOIN d USING (doc_id) JOIN b USING (item_id)),
 c AS (
   SELECT doc_id, item_id, wide, shift + st AS doc_word, st AS item_word,

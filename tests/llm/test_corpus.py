@@ -34,7 +34,7 @@ def test_substitutions_are_tolerated(spark):
     short = [(200, " ".join(prose(rng, 9) + items[4] + prose(rng, 9))), (201, " ".join(items[5])), (202, None), (203, ""), (204, "!!! ???")]
     bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)] + [(90, None), (91, "")], "item_id long, text string").withColumn("seed", F.lit(0))
     df = docs(spark, clean + leaked + short + leaked[:1], extra=True)
-    want = {(i, (i - 100) // 10) for i, _ in leaked} | {(200, 4)}
+    want = {(i, (i - 100) // 10) for i, _ in leaked} | {(200, 4), (201, 5)}
     for bound in (1_000_000, 0):
         got = decontaminate.overlaps(df, bench, broadcast_seeds=bound)
         assert {r[:2] for r in rows_of(got)} == want and got.count() == len(want)
