@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lograft.llm.common import cut
+from lograft.llm.common import cut, join_hot
 from lograft.llm.components import components
 
 #: Seed of the shingle hash.
@@ -98,19 +98,23 @@ def _forest(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.n
     return nodes[tied], nodes[label[tied]]
 
 
-def links(prints: DataFrame, col: str, radius: int = 3, tile: int = 4096) -> DataFrame:
+def links(prints: DataFrame, col: str, radius: int = 3, tile: int = 4096, fan: int = 64) -> DataFrame:
     """Links ``a, b`` (longs) that join all fingerprints within ``radius`` bits of each other.
 
     ``prints`` holds distinct fingerprints. Each tile pair gives the ties of its own groups instead
     of all pairs within them: the components are those of all links, and rows stay below the number
     of fingerprints in the two tiles. A tile holds about ``tile`` fingerprints; a cell with more is
     dealt into several by hash.
+
+    Each tile goes to every tile of its neighbour cells. Tiles that about ``fan`` or more others go to
+    stand in several places, and the others are dealt among these, so one key holds about ``fan`` pairs
+    however crowded its cell is. The number of tasks follows the number of pairs, not of bytes.
     """
     quarters = [F.bit_count(F.shiftrightunsigned(col, 16 * k).bitwiseAND(0xFFFF)) for k in range(4)]
     cell = sum((q * 17**k for k, q in enumerate(quarters)), F.lit(0)).cast("int")
     keyed = prints.select(F.col(col).alias("fp"), cell.alias("cell"))
-    # At most 17^4 cells whatever the input, so these counts may be broadcast.
-    parts = keyed.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
+    # At most 17^4 cells whatever the input, so tables with a row for each may be broadcast.
+    parts = cut(keyed.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts")), "cells")
     tiles = (
         keyed.join(F.broadcast(parts), "cell")
         .groupBy("cell", F.pmod(F.xxhash64("fp"), "parts").cast("int").alias("part"))
@@ -120,16 +124,26 @@ def links(prints: DataFrame, col: str, radius: int = 3, tile: int = 4096) -> Dat
     steps = [d for d in product(range(-radius, radius + 1), repeat=4) if sum(map(abs, d)) <= radius]
     half = [d for d in steps if d >= (0, 0, 0, 0)]
     offsets = F.array(*(F.struct(*(F.lit(x).alias(f"d{k}") for k, x in enumerate(d))) for d in half))
-    digits = [F.floor(F.col("cell") / 17**k) % 17 for k in range(4)]
-    near = tiles.select(F.col("cell").alias("from"), "part", "fps", *(d.alias(f"q{k}") for k, d in enumerate(digits)))
-    near = near.select("*", F.explode(offsets).alias("d"))
-    for k in range(4):
-        near = near.withColumn(f"q{k}", F.col(f"q{k}") + F.col(f"d.d{k}")).filter(f"q{k} between 0 and 16")
-    near = near.select(
-        "from", F.col("part").alias("from_part"), F.col("fps").alias("x"),
-        sum((F.col(f"q{k}") * 17**k for k in range(4)), F.lit(0)).cast("int").alias("cell"),
-    )
-    pairs = near.join(tiles, "cell").filter("from <> cell or from_part <= part")
+
+    def neighbours(rows: DataFrame) -> DataFrame:
+        """A row for each neighbour cell there is: ``from`` is the cell itself, ``cell`` the neighbour, ``parts`` its tiles."""
+        digits = [(F.floor(F.col("cell") / 17**k) % 17).alias(f"q{k}") for k in range(4)]
+        near = rows.select(F.col("cell").alias("from"), *(c for c in rows.columns if c != "cell"), *digits).withColumn("d", F.explode(offsets))
+        for k in range(4):
+            near = near.withColumn(f"q{k}", F.col(f"q{k}") + F.col(f"d.d{k}")).filter(f"q{k} between 0 and 16")
+        to = sum((F.col(f"q{k}") * 17**k for k in range(4)), F.lit(0)).cast("int")
+        return near.withColumn("cell", to).drop("d", *(f"q{k}" for k in range(4)))
+
+    come = neighbours(parts).groupBy("cell").agg(F.sum("parts").alias("come"))
+    spread = cut(parts.join(come, "cell").withColumn("salts", F.ceil(F.col("come") / fan).cast("int")), "spread")
+    pairs = spread.agg(F.sum(F.col("parts") * F.col("come"))).first()[0] or 0
+    tasks = int(min(100_000, max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs // 4096)))
+    salt = F.pmod(F.xxhash64("from", "from_part"), "salts").cast("int").alias("salt")
+    left = neighbours(tiles.select("cell", F.col("part").alias("from_part"), F.col("fps").alias("x"))).join(F.broadcast(spread), "cell")
+    left = left.select("from", "from_part", "x", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), salt)
+    right = tiles.join(F.broadcast(spread), "cell").select("cell", "part", "fps", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    key = ["cell", "part", "salt"]
+    pairs = left.repartition(tasks, *key).join(right.repartition(tasks, *key).hint("merge"), key).filter("from <> cell or from_part <= part")
 
     def compare(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -154,13 +168,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty one. Equal fingerprints meet once, as one node, however many rows share them.
     """
     marked = cut(docs.select(F.col(id_col), fingerprint(text_col, shingle).alias("fp")), "fingerprints")
-    nodes = cut(marked.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
+    nodes = cut(marked.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")), "nodes")
     roots = components(links(nodes, "fp", radius), "a", "b")
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
+        "fp", "least", "n", F.coalesce("root", "fp").alias("root")
     )
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp", "left").select(
+    named = cut(rooted.join(least, "root").select("fp", "n", "component_id"), "named")
+    return join_hot(marked, named, "fp").select(
         id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
