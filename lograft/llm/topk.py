@@ -31,9 +31,9 @@ def _products(q: np.ndarray, m: np.ndarray) -> np.ndarray:
 class Blocks:
     """Candidates of one segment as blocks of a range of ids, each with the largest and least of every component."""
 
-    def __init__(self, ids: np.ndarray, m: np.ndarray, rows: int) -> None:
+    def __init__(self, nth: np.ndarray, ids: np.ndarray, m: np.ndarray, rows: int) -> None:
         order = np.argsort(ids, kind="stable")
-        self.ids, self.m = ids[order], m[order]
+        self.nth, self.ids, self.m = nth[order], ids[order], m[order]
         self.at = np.arange(0, len(ids), rows)
         self.high = np.maximum.reduceat(self.m, self.at, axis=0)
         self.low = np.minimum.reduceat(self.m, self.at, axis=0)
@@ -43,36 +43,42 @@ class Blocks:
         """For each query and block the sum of the most that each component can give."""
         return _products(np.maximum(q, 0), self.high) + _products(np.minimum(q, 0), self.low)
 
-    def best(self, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
-        """Up to ``k`` (score, id) per query, best first. ``own`` are the queries' own ids, never returned.
+    def best(self, q: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+        """Up to ``k`` (score, row) per query, best first, leaving out scores below its ``floor`` and its own row.
 
         Each query takes blocks from the greatest bound down and stops at the first whose bound is
-        below its kth score; queries that want the same block next are scored together.
+        below its kth score; queries that want the same block next are scored together. A score equal
+        to the kth may win by its smaller id, so such rows and blocks are kept.
         """
         bound = self.bounds(q)
         order = np.argsort(-bound, axis=1, kind="stable")
-        held: list[list[tuple[int, int]]] = [[] for _ in ids]
-        step, live = 0, np.arange(len(ids))
+        held: list[list[tuple[int, int, int]]] = [[] for _ in q]
+        kth, step, self.scored = floor.copy(), 0, 0
+        live = np.nonzero(bound[np.arange(len(q)), order[:, 0]] >= kth)[0]
         while len(live) and step < len(self.at):
             want = order[live, step]
+            self.scored += len(live)
             for b in np.unique(want):
                 who = live[want == b]
-                lo, hi = self.at[b], min(self.at[b] + self.rows, len(self.ids))
-                scores, names = _products(q[who], self.m[lo:hi]), self.ids[lo:hi]
+                lo, hi = self.at[b], min(self.at[b] + self.rows, len(self.nth))
+                scores, rows = _products(q[who], self.m[lo:hi]), np.arange(lo, hi)
                 for i, s in zip(who, scores):
-                    least = held[i][k - 1][0] if len(held[i]) >= k else None
-                    pick = np.nonzero(s >= least)[0] if least is not None else np.arange(len(s))
-                    pick = pick[names[pick] != own[i]]
-                    if len(pick) > k:  # names rise, and the sort keeps their order among ties
+                    pick = np.nonzero(s >= kth[i])[0]
+                    pick = pick[self.nth[rows[pick]] != own[i]]
+                    if len(pick) > k:  # ids rise, and the sort keeps their order among ties
                         pick = pick[np.argsort(-s[pick], kind="stable")[:k]]
                     if len(pick):
-                        new = held[i] + [(int(s[j]), int(names[j])) for j in pick]
+                        new = held[i] + [(int(s[j]), int(self.ids[rows[j]]), int(rows[j])) for j in pick]
                         held[i] = sorted(new, key=lambda x: (-x[0], x[1]))[:k]
+                        if len(held[i]) >= k:
+                            kth[i] = max(kth[i], held[i][k - 1][0])
             step += 1
             if step < len(self.at):
-                kth = np.array([held[i][k - 1][0] if len(held[i]) >= k else np.iinfo(np.int64).min for i in live])
-                live = live[bound[live, order[live, step]] >= kth]
-        return held
+                live = live[bound[live, order[live, step]] >= kth[live]]
+        return [[(s, n) for s, _, n in h] for h in held]
+
+
+_LEAST = np.iinfo(np.int64).min
 
 
 def search(
@@ -81,29 +87,27 @@ def search(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` best candidates of every query, ties to the smaller id.
 
-    Queries are the rows whose id is divisible by ``every``, candidates all rows but the query's own
-    id. Vectors with null or non-finite components take no part, nor do rows with a null id; vectors
-    of another length than the query's are no candidates. Ids that repeat are candidates once per row.
-    Other columns are ignored.
+    Queries are the rows whose id is divisible by ``every``, candidates all rows but the query's own.
+    Rows that repeat an id are queries and candidates each for itself. Vectors with null or non-finite
+    components take no part, nor do rows with a null id; vectors of another length than the query's
+    are no candidates. Components so large that a score may leave 64 bits are an error. Other columns
+    are ignored, an empty table gives an empty one.
 
-    Candidates lie in segments of about ``segment`` rows and queries in groups of about ``queries``,
-    both dealt by hash of the id; each pair of group and segment is one unit of work, spread over the
-    cluster, and only the best ``k`` of each query leave it.
+    Candidates lie in segments of about ``segment`` rows, ranges of the id. Every query first meets the
+    segment it lies in. Its kth score there is the floor for all others, which it meets in groups of
+    about ``queries``: blocks bounded below the floor are not scored, and what is below it never leaves
+    a task. Each pair of group and segment is one unit of work, spread over the cluster.
     """
-    found = whole_numbers(vectors.filter(F.col(id_col).isNotNull()), id_col, vector_col, scale)
-    found = cut(found.withColumn("dims", F.size("v")), "vectors")
-    size = found.agg(F.count("*"), F.sum((F.col("id") % every == 0).cast("long"))).first()
-    parts, groups = -(-size[0] // segment) or 1, -(-(size[1] or 0) // queries) or 1
-    hot = F.xxhash64("id", "v")  # equal ids with unlike vectors part, so no id fills a segment
-    cells = found.groupBy("dims", F.pmod(hot, F.lit(parts)).alias("part"))
-    segments = cells.agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-    asked = found.filter(F.col("id") % every == 0).select("dims", "id", "v").distinct()
-    asked = asked.groupBy("dims", F.pmod(F.xxhash64("id"), F.lit(groups)).alias("group"))
-    asked = asked.agg(F.collect_list(F.struct("id", "v")).alias("asked"))
-    # Both sides are laid out by (group, segment), so that every unit of work hashes on its own.
-    left = asked.select("dims", "group", "asked", F.explode(F.expr(f"sequence(0L, {parts - 1}L)")).alias("part"))
-    right = segments.select("dims", "part", "rows", F.explode(F.expr(f"sequence(0L, {groups - 1}L)")).alias("group"))
-    units = left.join(right, ["dims", "group", "part"])
+    found = whole_numbers(vectors.filter(F.col(id_col).isNotNull()), id_col, vector_col, scale).withColumn("dims", F.size("v")).filter("dims > 0")
+    size = found.agg(F.count("*"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))), F.max("dims")).first()
+    if size[0] and float(size[1]) ** 2 * size[2] >= 2**63:
+        raise ValueError(f"a component of {size[1]} makes scores of more than 64 bits")
+    parts = -(-size[0] // segment) or 1
+    found = cut(found.repartitionByRange(parts, "dims", "id").withColumn("part", F.spark_partition_id()), "vectors")
+    found = cut(found.withColumn("nth", F.monotonically_increasing_id()), "numbered")
+    row = F.struct("nth", "id", "v")
+    segments = cut(found.groupBy("dims", "part").agg(F.collect_list(row).alias("rows")), "segments")
+    asked = found.filter(F.col("id") % every == 0)
 
     def score(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -114,13 +118,33 @@ def search(
                 for side in (asked, rows):
                     s = side.values
                     v = s.field("v").flatten().to_numpy(zero_copy_only=False)
-                    sides.append((s.field("id").to_numpy(), v.reshape(len(s), dims)))
-                (ids, q), (names, m) = sides
-                best = Blocks(names, m, block).best(ids, q, ids, k)
-                out = [(i, n, s) for i, b in zip(ids.tolist(), best) for s, n in b]
-                cols = list(zip(*out)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
-
-    near = units.select("dims", "asked", "rows").mapInArrow(score, "query_id long, vec_id long, score long")
-    rank = F.expr("row_number() over (partition by query_id order by score desc, vec_id)")
+                    sides.append((s, s.field("nth").to_numpy(), s.field("id").to_numpy(), v.reshape(len(s), dims)))
+                (a, own, ids, q), (_, nth, names, m) = sides
+                floor = np.full(len(q), _LEAST)
+                if "floor" in [f.name for f in a.type]:
+                    floor = a.field("floor").to_numpy()
+                blocks = Blocks(nth, names, m, block)
+                best = blocks.best(q, own, floor, k)
+                out = [(o, i, int(blocks.ids[n]), s) for o, i, b in zip(own.tolist(), ids.tolist(), best) for s, n in b]
+                cols = list(zip(*out)) or [(), (), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["nth", "query_id", "vec_id", "score"])
+
+    scored = "nth long, query_id long, vec_id long, score long"
+    home = asked.groupBy("dims", "part").agg(F.collect_list(row).alias("asked")).join(segments, ["dims", "part"])
+    home = cut(home.select("dims", "asked", "rows").mapInArrow(score, scored), "home")
+    floors = home.groupBy("nth").agg(F.count("*").alias("n"), F.min("score").alias("low")).filter(F.col("n") >= k)
+    away = asked.join(floors, "nth", "left").withColumn("floor", F.coalesce("low", F.lit(int(_LEAST))))
+    groups = -(-asked.count() // queries) or 1
+    away = away.groupBy("dims", F.col("part").alias("home"), F.pmod(F.xxhash64("nth"), F.lit(groups)).alias("group"))
+    away = away.agg(F.collect_list(F.struct("nth", "id", "v", "floor")).alias("asked"))
+    # Queries of one home stay together, so that a group leaves them out as a whole where they have been.
+    merged = away.groupBy("dims", "group").agg(F.collect_list(F.struct("home", "asked")).alias("homes"))
+    others = segments.select("dims", "part", "rows", F.explode(F.expr(f"sequence(0L, {groups - 1}L)")).alias("group"))
+    last = found.agg(F.max("part")).first()[0] or 0
+    # Both sides are laid out by (group, segment), so that every unit of work hashes on its own.
+    left = merged.select("dims", "group", "homes", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("part"))
+    left = left.withColumn("asked", F.flatten(F.transform(F.filter("homes", lambda h: h["home"] != F.col("part")), lambda h: h["asked"])))
+    units = left.filter(F.size("asked") > 0).select("dims", "part", "group", "asked").join(others, ["dims", "part", "group"])
+    near = units.select("dims", "asked", "rows").mapInArrow(score, scored).unionByName(home)
+    rank = F.expr("row_number() over (partition by nth order by score desc, vec_id)")
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
