@@ -29,7 +29,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents"))
     told = "array_join(transform({}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
-    counts = (F.expr(f"cast(size(filter(spans, s -> s.base and s.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii.KINDS)
+    counts = (F.expr(f"cast(size(filter(spans, s -> s.base and s.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii.BASE)
     return found.select(
         "doc_id", *counts,
         F.sha2(F.expr(told.format("filter(spans, s -> s.base)")), 256).alias("base_sha256"),
