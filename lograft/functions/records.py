@@ -6,6 +6,7 @@ it), and a variant for records of any shape. All functions are plain column expr
 
 from __future__ import annotations
 
+import re
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -29,23 +30,33 @@ def parse_variant(text: Column | str) -> Column:
     return F.try_parse_json(_col(text))
 
 
-def parse_struct(text: Column | str, schema: T.StructType | str) -> Column:
+def parse_struct(text: Column | str, schema: T.DataType | str) -> Column:
     """The record as a struct of ``schema``; fields that are missing or of another type are null."""
     return F.from_json(_col(text), schema, _STRICT)
 
 
-def discover_schema(df: DataFrame, column: str = "clean") -> T.StructType:
+def discover_schema(df: DataFrame, column: str = "clean") -> T.DataType:
     """The merged schema of all records of a text column: one pass, one small row to the driver.
 
-    Where a field has unlike types it becomes a variant, so nothing of it is lost.
+    Where a field has unlike types it becomes a variant, so nothing of it is lost. Records that are
+    arrays give an array type, objects beside arrays a variant; no records give a struct without fields.
     """
     row = df.agg(F.expr(f"schema_of_variant_agg(try_parse_json(`{column}`))").alias("s")).first()
-    return T.StructType.fromDDL(_ddl(row["s"])) if row["s"] and row["s"].startswith("OBJECT<") else T.StructType()
+    return T.DataType.fromDDL(_ddl(row["s"])) if row["s"] and row["s"] != "VOID" else T.StructType()
+
+
+#: A quoted name, a plain name, or one of the two words for types that DDL has not.
+_TYPE = re.compile(r"`(?:[^`]|``)*`|[A-Za-z_]\w*(?=: )|OBJECT<|\bVOID\b")
 
 
 def _ddl(text: str) -> str:
-    inner = text.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
-    return inner.removeprefix("STRUCT<").removesuffix(">")
+    def put(m: re.Match) -> str:
+        word = m[0]
+        if word[0] == "`" or text.startswith(": ", m.end()):
+            return word if word[0] == "`" else f"`{word}`"
+        return "STRUCT<" if word == "OBJECT<" else "STRING"
+
+    return _TYPE.sub(put, text)
 
 
 # -- reaching fields -----------------------------------------------------------------------------
@@ -58,19 +69,29 @@ def type_at(schema: T.DataType, path: Path) -> T.DataType | None:
             schema = schema.elementType
         elif isinstance(schema, T.StructType) and str(p) in schema.names:
             schema = schema[str(p)].dataType
+        elif isinstance(schema, T.VariantType):
+            return schema
         else:
             return None
     return schema
 
 
-def field(record: Column | str, schema: T.StructType, path: str | Path) -> Column:
-    """The field at a path of a struct record; null where it, or what leads to it, is missing."""
+def field(record: Column | str, schema: T.DataType, path: str | Path) -> Column:
+    """The field at a path of a struct or variant record; null where it, or what leads to it, is missing.
+
+    ``schema`` is the type of the record in this and all functions below. In a variant, or where a
+    schema ends in one, every path may be there, and an explicit null is null.
+    """
     at, col = parse_path(path), _col(record)
     if type_at(schema, at) is None:
         return F.lit(None).cast("string")
-    for p in at:
+    kind: T.DataType = schema
+    for k, p in enumerate(at):
+        if isinstance(kind, T.VariantType):
+            return variant_field(col, at[k:], "variant")
         col = F.get(col, p) if isinstance(p, int) else col.getField(p)
-    return col
+        kind = type_at(kind, (p,))
+    return F.when(~F.is_variant_null(col), col) if isinstance(kind, T.VariantType) else col
 
 
 def variant_field(v: Column | str, path: str | Path, kind: str = "string") -> Column:
@@ -112,16 +133,18 @@ def as_text(col: Column, kind: T.DataType | None, pretty: bool = False) -> Colum
     if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
         return to_pretty_json(col, kind) if pretty else to_compact_json(col, kind)
     if isinstance(kind, T.VariantType):
-        return F.when(~F.is_variant_null(col), F.coalesce(F.try_variant_get(col, "$", "string"), F.to_json(col)))
+        whole = json_kind(col).isin("object", "array")
+        text = to_pretty_json(col, kind) if pretty else to_compact_json(col, kind)
+        return F.when(~F.is_variant_null(col), F.when(whole, text).otherwise(F.try_variant_get(col, "$", "string")))
     return col.cast("string")
 
 
-def first_of(record: Column | str, schema: T.StructType, *options: str) -> Column:
+def first_of(record: Column | str, schema: T.DataType, *options: str) -> Column:
     """The text of the first option that is not null."""
     return F.coalesce(*(as_text(field(record, schema, o), type_at(schema, parse_path(o))) for o in options))
 
 
-def which_of(record: Column | str, schema: T.StructType, *options: str) -> Column:
+def which_of(record: Column | str, schema: T.DataType, *options: str) -> Column:
     """The name of the first option that is not null."""
     return F.coalesce(*(F.when(field(record, schema, o).isNotNull(), F.lit(o)) for o in options))
 
@@ -169,7 +192,7 @@ def truthy_variant(v: Column | str) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def has_key(record: Column | str, schema: T.StructType, *options: str) -> Column:
+def has_key(record: Column | str, schema: T.DataType, *options: str) -> Column:
     """Whether any option is there and not null; empty and zero values count."""
     out = F.lit(False)
     for o in options:
@@ -177,7 +200,7 @@ def has_key(record: Column | str, schema: T.StructType, *options: str) -> Column
     return out
 
 
-def truthy(record: Column | str, schema: T.StructType, *options: str) -> Column:
+def truthy(record: Column | str, schema: T.DataType, *options: str) -> Column:
     """Whether the first option that is not null is truthy."""
     out: Column | None = None
     for o in options:
@@ -187,7 +210,7 @@ def truthy(record: Column | str, schema: T.StructType, *options: str) -> Column:
     return F.lit(False) if out is None else out.otherwise(F.lit(False))
 
 
-def any_truthy(record: Column | str, schema: T.StructType, *options: str) -> Column:
+def any_truthy(record: Column | str, schema: T.DataType, *options: str) -> Column:
     """Whether any option is truthy."""
     out = F.lit(False)
     for o in options:
@@ -221,6 +244,8 @@ def without(col: Column, kind: T.DataType, used: Used, at: Path = ()) -> Column:
     if isinstance(kind, T.StructType):
         parts = [without(col.getField(f.name), f.dataType, used, (*at, f.name)).alias(f.name) for f in kind.fields]
         return F.when(col.isNotNull(), F.struct(*parts))
+    if isinstance(kind, T.VariantType):
+        return _variant_without(col, used, at, inner)
     if isinstance(kind, T.ArrayType):
         slots = sorted({p[len(at)] for p in inner if isinstance(p[len(at)], int)})
 
@@ -234,22 +259,64 @@ def without(col: Column, kind: T.DataType, used: Used, at: Path = ()) -> Column:
     return col
 
 
-def drop_field(record: Column | str, schema: T.StructType, *paths: str) -> Column:
+_NULL = "parse_json('null')"
+
+
+def _variant_without(col: Column, used: Used, at: Path, inner: set[Path]) -> Column:
+    """``without`` for a variant: whatever else it holds stays, objects and arrays are taken apart only along the paths."""
+    heads = {p[len(at)] for p in inner}
+    none = F.expr(_NULL)
+
+    def part(x: Column, head: str | int) -> Column:
+        return F.coalesce(without(x, T.VariantType(), used, (*at, head)), none)
+
+    def name(k: Column, x: Column) -> Column:
+        out = x
+        for h in (h for h in heads if isinstance(h, str)):
+            out = F.when(k == h, part(x, h)).otherwise(out)
+        return out
+
+    def slot(x: Column, i: Column) -> Column:
+        out = x
+        for h in (h for h in heads if isinstance(h, int)):
+            out = F.when(i == h, part(x, h)).otherwise(out)
+        return out
+
+    members, items = F.try_variant_get(col, "$", "map<string,variant>"), F.try_variant_get(col, "$", "array<variant>")
+    out = F.when(members.isNotNull(), F.to_variant_object(F.transform_values(members, name)))
+    return out.when(items.isNotNull(), F.to_variant_object(F.transform(items, slot))).otherwise(col)
+
+
+def drop_field(record: Column | str, schema: T.DataType, *paths: str) -> Column:
     """The record with the fields or slots at ``paths`` set to null."""
     return without(_col(record), schema, {parse_path(p): F.lit(True) for p in paths})
 
 
-def set_field(record: Column | str, name: str, value: Column) -> Column:
-    """The record with a field put in or replaced; dotted names reach into objects."""
-    return _col(record).withField(name, value)
+def set_field(record: Column | str, name: str, value: Column, schema: T.DataType | None = None) -> Column:
+    """The record with a field put in or replaced; dotted names reach into objects.
+
+    A variant record needs its type as ``schema``; ``value`` is then a variant, and objects on the way
+    that are missing are made.
+    """
+    if not isinstance(schema, T.VariantType):
+        return _col(record).withField(name, value)
+
+    def put(col: Column, rest: list[str]) -> Column:
+        if not rest:
+            return value
+        members = F.coalesce(F.try_variant_get(col, "$", "map<string,variant>"), F.expr("cast(map() as map<string,variant>)"))
+        other = F.map_filter(members, lambda k, _: k != rest[0])
+        return F.to_variant_object(F.map_concat(other, F.create_map(F.lit(rest[0]), put(F.get(F.map_values(F.map_filter(members, lambda k, _: k == rest[0])), F.lit(0)), rest[1:]))))
 
+    return put(_col(record), name.split("."))
 
-def set_parsed(record: Column | str, name: str, text: Column | str, schema: T.StructType | str) -> Column:
+
+def set_parsed(record: Column | str, name: str, text: Column | str, schema: T.DataType | str) -> Column:
     """``set_field`` with a parsed object or array."""
     return set_field(record, name, parse_struct(text, schema))
 
 
-def update_at(record: Column | str, schema: T.StructType, path: str, change) -> Column:
+def update_at(record: Column | str, schema: T.DataType, path: str, change) -> Column:
     """The record with the value at ``path`` replaced by ``change`` of it; paths that are not there change nothing."""
 
     def walk(col: Column, kind: T.DataType, rest: Path) -> Column:
@@ -258,6 +325,12 @@ def update_at(record: Column | str, schema: T.StructType, path: str, change) ->
         head = rest[0]
         if isinstance(head, int) and isinstance(kind, T.ArrayType):
             return F.transform(col, lambda x, i: F.when(i == head, walk(x, kind.elementType, rest[1:])).otherwise(x))
+        if isinstance(kind, T.VariantType):
+            members, items = F.try_variant_get(col, "$", "map<string,variant>"), F.try_variant_get(col, "$", "array<variant>")
+            inside = lambda x: F.coalesce(walk(x, kind, rest[1:]), F.expr(_NULL))
+            if isinstance(head, int):
+                return F.when(items.isNotNull(), F.to_variant_object(F.transform(items, lambda x, i: F.when(i == head, inside(x)).otherwise(x)))).otherwise(col)
+            return F.when(members.isNotNull(), F.to_variant_object(F.transform_values(members, lambda k, x: F.when(k == head, inside(x)).otherwise(x)))).otherwise(col)
         if isinstance(kind, T.StructType) and head in kind.names:
             return F.when(col.isNotNull(), col.withField(head, walk(col.getField(head), kind[head].dataType, rest[1:])))
         return col
@@ -269,9 +342,15 @@ def update_at(record: Column | str, schema: T.StructType, path: str, change) ->
 
 
 def has_content(col: Column, kind: T.DataType, used: Used, at: Path = ()) -> Column:
-    """Whether anything is left to print once ``used`` is left out: some leaf that is neither null nor used."""
+    """Whether anything is left to print once ``used`` is left out: some field that is neither null nor used.
+
+    Objects and arrays are looked into only on the way to a used path; others count where they are
+    not null, also without a value inside.
+    """
     if at in used:
         return ~F.coalesce(used[at], F.lit(False)) & has_content(col, kind, {p: c for p, c in used.items() if p != at}, at)
+    if at and not any(p[: len(at)] == at for p in used):
+        return ~F.is_variant_null(col) & col.isNotNull() if isinstance(kind, T.VariantType) else col.isNotNull()
     if isinstance(kind, T.StructType):
         out = F.lit(False)
         for f in kind.fields:
@@ -279,11 +358,23 @@ def has_content(col: Column, kind: T.DataType, used: Used, at: Path = ()) -> Col
         return out
     if isinstance(kind, T.ArrayType):
         return F.coalesce(F.exists(without(col, kind, used, at), lambda x: x.isNotNull()), F.lit(False))
+    if isinstance(kind, T.VariantType):
+        return truthy_value(without(col, kind, used, at), kind)
     return col.isNotNull()
 
 
-def pruned(col: Column, kind: T.DataType) -> Column:
-    """Without the nulls in its arrays; those in objects are left out when printed."""
+#: Levels of objects and arrays within which a variant is printed without nulls; what lies deeper is printed as it is.
+DEPTH = 5
+
+
+def pruned(col: Column, kind: T.DataType, depth: int = DEPTH) -> Column:
+    """Without the nulls in its arrays; those in objects are left out when printed, in variants here."""
+    if isinstance(kind, T.VariantType) and depth:
+        held = lambda x: x.isNotNull() & ~F.is_variant_null(x)
+        members, items = F.try_variant_get(col, "$", "map<string,variant>"), F.try_variant_get(col, "$", "array<variant>")
+        kept = F.transform_values(F.map_filter(members, lambda k, x: held(x)), lambda k, x: pruned(x, kind, depth - 1))
+        out = F.when(members.isNotNull(), F.to_variant_object(kept))
+        return out.when(items.isNotNull(), F.to_variant_object(F.transform(F.filter(items, held), lambda x: pruned(x, kind, depth - 1)))).otherwise(col)
     if isinstance(kind, T.ArrayType):
         inner = F.filter(col, lambda x: x.isNotNull())
         return F.transform(inner, lambda x: pruned(x, kind.elementType)) if _has_array(kind.elementType) else inner
@@ -293,7 +384,7 @@ def pruned(col: Column, kind: T.DataType) -> Column:
 
 
 def _has_array(kind: T.DataType) -> bool:
-    return isinstance(kind, T.ArrayType) or isinstance(kind, T.StructType) and any(_has_array(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.ArrayType, T.VariantType)) or isinstance(kind, T.StructType) and any(_has_array(f.dataType) for f in kind.fields)
 
 
 def to_compact_json(col: Column | str, kind: T.DataType) -> Column:

@@ -42,19 +42,26 @@ def clean(line: Column | str) -> Column:
     return F.regexp_replace(strip_ansi(line), _ENDS, "")
 
 
-def classify_lines(df: DataFrame, column: str = "line") -> DataFrame:
+def classify_lines(df: DataFrame, column: str = "line", parsed: str | None = None) -> DataFrame:
     """Add ``clean`` and ``status``: blank, non_json, truncated, malformed or record.
 
+    With ``parsed`` the variant that the test parses is kept under that name (null for no record), so
+    that records need no second parse.
+
     A record is an object or an array that parses; text after its end is ignored. A line that starts
     like one and does not parse is truncated if it does not end like one, else malformed. A null line
     is blank.
     """
     out = computed_once(df, clean=F.coalesce(clean(column), F.lit("")))
     c, head, tail = F.col("clean"), F.substring("clean", 1, 1), F.substring("clean", -1, 1)
+    whole = F.try_parse_json(c)
+    if parsed:
+        out = computed_once(out, **{parsed: F.when(head.isin("{", "["), whole)})
+        whole = F.col(parsed)
     status = (
         F.when(c == "", "blank")
         .when(~head.isin("{", "["), "non_json")
-        .when(F.try_parse_json(c).isNotNull(), "record")
+        .when(whole.isNotNull(), "record")
         .when(~tail.isin("}", "]"), "truncated")
         .otherwise("malformed")
     )
@@ -92,11 +99,15 @@ def take_lines(df: DataFrame, n: int, order: list[str]) -> DataFrame:
 
 
 def parse_quality_report(classified: DataFrame, order: str, by: list[str] | None = None, snippet: int = 40) -> DataFrame:
-    """Per source and status: lines, the first of them, its start, and lines that were no valid UTF-8."""
+    """Per source and status: lines, the first of them, its start, and lines whose bytes are no valid UTF-8.
+
+    ``error_class`` is the status of lines that are no records, else null.
+    """
     group = [*(by or ["source"]), "status"]
-    return classified.groupBy(*group).agg(
+    report = classified.groupBy(*group).agg(
         F.count("*").alias("lines"),
         F.min(order).alias("first_line"),
         F.min_by(F.substring("line", 1, snippet), order).alias("snippet"),
-        F.sum(F.contains("line", F.lit("�")).cast("long")).alias("invalid_utf8"),
+        F.sum((~F.is_valid_utf8("line")).cast("long")).alias("invalid_utf8"),
     )
+    return report.withColumn("error_class", F.when(F.col("status").isin(*BAD), F.col("status")))

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from lograft.functions import records as R
 from lograft.functions.paths import Path, parse_path
+from lograft.operators.normalize import LEVEL, MESSAGE, TIMESTAMP
 
 WHOLE, REST = ".", ".."
 
@@ -109,28 +110,35 @@ def named_layouts(*layers: Layouts) -> dict[str, list]:
     return out
 
 
-def default_layouts(compact: bool = True) -> dict[str, list]:
-    """The layouts that ``default_render`` prints; override any of them by name."""
-    return {
-        "output": [when_key([ref("log")], ref("log_line"), ref("new_line")), ref("data_text")],
-        "log": [ref("timestamp", "level", "message")],
-        "log_line": [ref("timestamp_text"), ref("level_text"), ref("message_text")],
-        "timestamp_text": [when_key([ref("timestamp")], ref("timestamp"), " ")],
-        "timestamp": [arg("timestamp")],
-        "level_text": [when_key([ref("level")], ref("level"), " ")],
-        "level": [arg("level", "lvl", "severity")],
-        "message_text": [ref("message")],
-        "message": [arg("message", "msg", "body", "fields.message")],
-        "new_line": [when_key([ref("data")], *layout_switch(compact, [" "], ["\n"]))],
-        "data_text": [ref("data")],
-        "data": [rest()],
-    }
+#: What the default layout prints: a name for each part, to be overridden, and its fields.
+PARTS: Layouts = {
+    "time": [arg(*TIMESTAMP)],
+    "level": [arg(*LEVEL)],
+    "message": [arg(*MESSAGE)],
+    "data": [rest()],
+}
+
+
+def default_layout(parts: Layouts | None = None, compact: bool = True) -> list:
+    """Time, level and message, each with a blank after it where it is there, then all other fields.
+
+    A part with fields shows where one of them is there, so it may say more than the field; one without
+    always shows. The other fields follow on a line of their own unless ``compact``.
+    """
+    named, out, heads = named_layouts(PARTS, parts or {}), [], []
+    for name in ("time", "level", "message"):
+        fields = [o for p in named[name] if isinstance(p, Arg) for o in p.options]
+        after = [] if name == "message" else [" "]
+        heads += fields
+        out += [when_key(fields, *named[name], *after)] if fields else named[name]
+    gap = [when_key(heads, " " if compact else "\n")] if heads else []
+    return [*out, *gap, *named["data"]]
 
 
 @dataclass
 class _Builder:
     record: Column
-    schema: T.StructType
+    schema: T.DataType
     layouts: Layouts
     compact: bool
     omit_empty_rest: bool
@@ -175,7 +183,7 @@ class _Builder:
         if REST in options:
             return F.lit(True) if kind == "key" else R.has_content(self.record, self.schema, self.used)
         if WHOLE in options:
-            return F.lit(True) if kind == "key" else R.has_content(self.record, self.schema, {})
+            return F.lit(True) if kind == "key" else R.truthy_value(self.record, self.schema)
         test = {"key": R.has_key, "if": R.truthy, "any": R.any_truthy}[kind]
         return test(self.record, self.schema, *options)
 
@@ -237,7 +245,7 @@ class _Builder:
 
 
 def layout_column(
-    record: Column | str, schema: T.StructType, pieces: list, layouts: Layouts | None = None,
+    record: Column | str, schema: T.DataType, pieces: list, layouts: Layouts | None = None,
     compact: bool = True, omit_empty_rest: bool = False,
 ) -> Column:
     """The text of each record; null where the record is."""
@@ -247,11 +255,13 @@ def layout_column(
 
 
 def render(df: DataFrame, pieces: list, record: str = "r", layouts: Layouts | None = None, **how: bool) -> DataFrame:
-    """Add ``text``, one rendered text per record of the struct column ``record``."""
+    """Add ``text``, one rendered text per record of the struct or variant column ``record``.
+
+    Of a struct the declared fields are printed, of a variant whatever the record holds, arrays too.
+    """
     return df.withColumn("text", layout_column(record, df.schema[record].dataType, pieces, layouts, **how))
 
 
 def default_render(df: DataFrame, record: str = "r", layouts: Layouts | None = None, compact: bool = True, **how: bool) -> DataFrame:
-    """``timestamp level message``, then all other fields as JSON; ``layouts`` override parts by name."""
-    named = named_layouts(default_layouts(compact), layouts or {})
-    return render(df, [ref("output")], record, named, compact=compact, **how)
+    """``timestamp level message``, then all other fields as JSON; ``layouts`` override the ``PARTS`` by name."""
+    return render(df, default_layout(layouts, compact), record, layouts, compact=compact, **how)

@@ -44,8 +44,8 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = _classified(spark, sf_dir).filter("status = 'record'")
-    return kept.select("line_no", R.parse_variant("clean").alias("v"))
+    """``line_no, v`` of the records: the variant that the test for a record has parsed."""
+    return C.classify_lines(W.wire(spark, sf_dir), parsed="v").filter("status = 'record'").select("line_no", "v")
 
 
 def _texts(name: str, sql: str, pieces: list, layouts: dict | None = None, **how: bool) -> None:
@@ -86,11 +86,10 @@ def stream_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("status").agg(F.count("*").alias("lines"))
 
 
-@_query("SELECT line_no, js AS line FROM r WHERE line_no % 7 <> 0 AND line_no % 5 <> 0 AND line_no % 2 = 0")
+@_query("SELECT line_no, raw AS line FROM e")
 def lines_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines without explicit nulls (in objects or in arrays) or terminal sequences, as written."""
-    plain = _classified(spark, sf_dir).filter("status = 'record' and line_no % 7 <> 0 and line_no % 5 <> 0 and line_no % 2 = 0")
-    return plain.select("line_no", "line")
+    """The record of every event, with explicit nulls where it has them."""
+    return W.written(spark, sf_dir).select(F.col("event_id").alias("line_no"), F.col("js").alias("line"))
 
 
 @_query("SELECT js AS text, count(*) AS n FROM r GROUP BY js")
@@ -115,11 +114,10 @@ def drop_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.drop_blank(W.wire(spark, sf_dir)).select("line_no")
 
 
-@_query("SELECT line_no, CASE WHEN line_no % 7 = 0 OR line_no % 2 = 1 THEN '' ELSE js END AS text FROM r")
+@_query("""SELECT line_no, CASE status WHEN 'record' THEN raw WHEN 'blank' THEN ' ' || chr(9) || ' ' WHEN 'truncated' THEN raw[1:25]
+    WHEN 'malformed' THEN '{bad:1,' || raw[2:] ELSE CASE WHEN line_no % 97 = 96 THEN 'plain text line ' || line_no ELSE '"str"' END END AS text FROM e""")
 def strip_ansi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = _classified(spark, sf_dir).filter("status = 'record'")
-    shown = F.when((F.col("line_no") % 7 == 0) | (F.col("line_no") % 2 == 1), "").otherwise(C.strip_ansi("line"))
-    return kept.select("line_no", shown.alias("text"))
+    return W.wire(spark, sf_dir).select("line_no", C.strip_ansi("line").alias("text"))
 
 
 @_query("SELECT line_no, status FROM w")
@@ -134,18 +132,35 @@ def parse_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("line_no", R.variant_field("v", "timestamp").alias("ts"), R.variant_field("v", "data.user_id", "bigint").alias("user_id"), level.alias("level"))
 
 
-@_query("SELECT line_no, data_js AS text FROM r WHERE false UNION ALL SELECT count(*), 'body,data,fields,level,lvl,message,msg,severity,timestamp' FROM r")
+@_query("""SELECT line_no, ts, user_id, CASE WHEN line_no % 2 = 0 THEN lv END AS even, 1::BIGINT AS void FROM r""")
 def discover_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names that a schema found in all records has, and how many records it reads."""
-    kept = _classified(spark, sf_dir).filter("status = 'record'")
+    """Records read by a schema found in them, with names that hold words for types, quotes and blanks."""
+    v = F.col("v")
+    odd = {"AVOIDED": F.parse_json(F.lit("1")), "OBJECT<a `b`": F.when(F.col("line_no") % 2 == 0, R.variant_field("v", "timestamp", "variant"))}
+    kept = _variants(spark, sf_dir).select("line_no", F.to_json(_with(v, odd)).alias("clean"))
+    even = F.when(F.col("line_no") % 2 == 0, F.coalesce(*(R.variant_field("w", n) for n in N.LEVEL)))
     schema = R.discover_schema(kept)
-    read = kept.select(R.parse_struct("clean", schema).alias("r")).filter("r.timestamp is not null")
-    return read.agg(F.count("*").alias("line_no")).withColumn("text", F.lit(",".join(sorted(schema.names))))
+    got = kept.select("line_no", R.parse_struct("clean", schema).alias("r"), F.parse_json("clean").alias("w"))
+    return got.filter((F.col("line_no") % 2 == 1) | F.col("r").getField("OBJECT<a `b`").isNotNull()).select(
+        "line_no", F.col("r.timestamp").alias("ts"), F.col("r.data.user_id").alias("user_id"), even.alias("even"), F.col("r.AVOIDED").alias("void")
+    )
+
 
+def _with(v: Column, more: dict[str, Column]) -> Column:
+    """A variant object with further fields."""
+    members = F.try_variant_get(v, "$", "map<string,variant>")
+    added = F.create_map(*(x for n, c in more.items() for x in (F.lit(n), F.coalesce(c, F.parse_json(F.lit("null"))))))
+    return F.to_variant_object(F.map_concat(members, added))
 
-@_query("SELECT 'events' AS source, status, count(*) AS lines, min(line_no) AS first_line, 0::BIGINT AS invalid_utf8 FROM w GROUP BY status")
+
+@_query("""SELECT 'events' AS source, status, count(*) AS lines, min(line_no) AS first_line, count(*) FILTER (line_no % 13 = 0) AS invalid_utf8,
+    CASE WHEN status NOT IN ('record', 'blank') THEN status END AS error_class FROM w GROUP BY status""")
 def parse_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.parse_quality_report(_classified(spark, sf_dir), "line_no").drop("snippet")
+    """Every thirteenth line ends in a byte that is no UTF-8, every eleventh in the sign that stands for such bytes."""
+    i = F.col("line_no")
+    seen = _classified(spark, sf_dir)
+    line = F.when(i % 13 == 0, F.concat(F.col("line").cast("binary"), F.unhex(F.lit("FF"))).cast("string")).when(i % 11 == 0, F.concat("line", F.lit("\ufffd"))).otherwise(F.col("line"))
+    return C.parse_quality_report(seen.withColumn("line", line), "line_no").drop("snippet")
 
 
 @_query("SELECT line_no, status = 'record' AS valid FROM w WHERE status <> 'blank'")
@@ -154,11 +169,19 @@ def split_valid_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("line_no", F.lit(True).alias("valid")).unionByName(bad.select("line_no", F.lit(False).alias("valid")))
 
 
-@_query("SELECT line_no FROM r")
+@_query("""SELECT count(*) AS records, true AS failed, first(status || ' line') AS said FROM (SELECT line_no FROM r) x,
+    (SELECT status FROM w WHERE status NOT IN ('record', 'blank') ORDER BY line_no LIMIT 1) y""")
 def strict_fail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strict reading of lines that are all records or blank."""
-    sound = _classified(spark, sf_dir).filter("status in ('record', 'blank')").select("line_no", "line")
-    return C.strict_fail(C.classify_lines(sound)).select("line_no")
+    """Strict reading fails at the bad lines of the table, here the first; without bad lines it passes all records."""
+    seen = _classified(spark, sf_dir)
+    first = seen.filter(F.col("status").isin(*C.BAD)).orderBy("line_no").limit(1)
+    said = ""
+    try:
+        C.strict_fail(seen.join(first.select("line_no"), "line_no", "left_semi").unionByName(seen.filter("status = 'record'"))).count()
+    except Exception as e:
+        said = next((f"{x} line" for x in C.BAD if f"{x} line: " in str(e)), "")
+    sound = C.strict_fail(seen.filter(~F.col("status").isin(*C.BAD)))
+    return sound.agg(F.count("*").alias("records")).select("records", F.lit(said != "").alias("failed"), F.lit(said).alias("said"))
 
 
 @_query("SELECT line_no FROM r WHERE line_no < (SELECT min(line_no) FROM w WHERE status NOT IN ('record', 'blank'))")
@@ -196,7 +219,7 @@ _columns(
     ),
 )
 _columns("drop_field", "'{\"timestamp\":\"' || ts || '\",' || lv_js || ',' || msg_js || ',\"data\":{\"k\":' || k || ',\"tags\":[' || CASE WHEN line_no % 2 = 0 THEN '\"b\",' ELSE '' END || '\"c\"]' || CASE WHEN code IS NULL THEN '' ELSE ',\"error_code\":\"E1\"' END || '}}' AS text", text=lambda: R.to_compact_json(R.drop_field(_r, W.SCHEMA, "data.user_id", "data.tags[0]"), W.SCHEMA))
-_columns("set_field", "'fixed' AS level, user_id + 1 AS user_id", level=lambda: R.set_field(_r, "level", F.lit("fixed"))["level"], user_id=lambda: R.set_parsed(R.set_field(_r, "data.user_id", F.col("r.data.user_id") + 1), "fields", F.lit('{"message":"x"}'), "message string")["data"]["user_id"])
+_columns("set_field", "'fixed' AS level, user_id + 1 AS user_id, line_no::VARCHAR AS parsed", level=lambda: R.set_field(_r, "level", F.lit("fixed"))["level"], user_id=lambda: R.set_field(_r, "data.user_id", F.col("r.data.user_id") + 1)["data"]["user_id"], parsed=lambda: R.set_parsed(_r, "fields", F.concat(F.lit('{"message":"'), F.col("line_no"), F.lit('"}')), "message string")["fields"]["message"])
 _columns("update_at", "CASE WHEN line_no % 2 = 0 THEN 'B' END AS slot, upper(said) AS said", slot=lambda: F.get(R.update_at(_r, W.SCHEMA, "data.tags[1]", F.upper)["data"]["tags"], 1), said=lambda: F.upper(R.first_of(R.update_at(_r, W.SCHEMA, "fields.message", F.upper), W.SCHEMA, *N.MESSAGE)))
 
 
@@ -303,7 +326,7 @@ def to_pretty_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT line_no, lv || ' Message: ' || said || ' {\"timestamp\":\"' || ts || '\",' || substr(rest_js, 2) AS text FROM r")
 def named_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default layout without a time and with its message text replaced."""
-    own = {"timestamp": [], "message_text": ["Message: ", L.ref("message")]}
+    own = {"time": [], "message": ["Message: ", L.arg(*N.MESSAGE)]}
     return L.default_render(_records(spark, sf_dir), layouts=own).select("line_no", "text")
 
 
@@ -312,6 +335,17 @@ def default_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.default_render(_records(spark, sf_dir)).select("line_no", "text")
 
 
+@_query("""SELECT line_no, ts || ' {' || CASE WHEN msg_key = 'body' THEN '"body":"' || said_js || '",' ELSE '' END
+    || '"data":{' || CASE WHEN code IS NULL THEN '' ELSE '"error_code":"' || code || '",' END || '"k":' || k || ',' || tags_js || ',"user_id":' || user_id || '}'
+    || CASE WHEN msg_key = 'fields.message' THEN ',"fields":{"message":"' || said_js || '"}' ELSE '' END
+    || CASE WHEN lv_key IN ('level', 'lvl') THEN ',"' || lv_key || '":"' || lv || '"' ELSE '' END
+    || CASE WHEN msg_key IN ('message', 'msg') THEN ',"' || msg_key || '":"' || said_js || '"' ELSE '' END
+    || CASE WHEN lv_key = 'severity' OR line_no % 6 = 0 THEN ',"severity":"' || lv || '"' ELSE '' END || '}' AS text FROM r""")
+def rest_of_any_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rest of records without a schema, by name; one parse each."""
+    return L.render(_variants(spark, sf_dir), [L.arg("timestamp"), " ", L.rest()], "v").select("line_no", "text")
+
+
 @_query("SELECT line_no, lpad(lv, 5, ' ') AS level FROM r")
 def level_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.normalize_log(_records(spark, sf_dir)).select("line_no", N.pad_level("level").alias("level"))

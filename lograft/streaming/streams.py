@@ -26,11 +26,14 @@ def route(lines: DataFrame, records: str, quarantine: str, checkpoint: str, stri
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        seen = classify_lines(batch)
-        bad = seen.filter(F.col("status").isin(*BAD))
-        if strict and (first := bad.select("line").first()):
-            raise ValueError(f"batch {number}: no record: {first['line'][:80]}")
-        seen.filter("status = 'record'").write.mode("overwrite").parquet(f"{records}/batch={number}")
-        bad.write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
+        seen = classify_lines(batch).persist()  # classified once for both places
+        try:
+            bad = seen.filter(F.col("status").isin(*BAD))
+            if strict and (first := bad.select("line").first()):
+                raise ValueError(f"batch {number}: no record: {first['line'][:80]}")
+            seen.filter("status = 'record'").write.mode("overwrite").parquet(f"{records}/batch={number}")
+            bad.write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
+        finally:
+            seen.unpersist()
 
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -46,12 +46,16 @@ def _record() -> list[Column]:
     ]
 
 
+def written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns of every event, and ``js``, the record as it is written, before any dirt."""
+    e, record = spark.read.parquet(f"{sf_dir}/events.parquet"), _record()
+    nulls = F.col("event_id") % 7 == 0
+    return computed_once(e, js=F.when(nulls, lines_from_table(*record, nulls=True)).otherwise(lines_from_table(*record)))
+
+
 def wire(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``line_no, source, line``."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
     i = F.col("event_id")
-    record = _record()
-    js = F.when(i % 7 == 0, lines_from_table(*record, nulls=True)).otherwise(lines_from_table(*record))
     line = (
         F.when(i % 101 == 100, " \t ")
         .when(i % 97 == 96, F.concat(F.lit("plain text line "), i.cast("string")))
@@ -61,7 +65,7 @@ def wire(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(i % 5 == 0, F.concat(F.lit("\x1b[31m"), F.col("js"), F.lit("\x1b[0m")))
         .otherwise(F.col("js"))
     )
-    lines = computed_once(computed_once(e, js=js).select("event_id", "js"), line=line)
+    lines = computed_once(written(spark, sf_dir).select("event_id", "js"), line=line)
     return lines.select(i.alias("line_no"), F.lit("events").alias("source"), "line")
 
 
@@ -89,6 +93,18 @@ w AS (
     '"' || lv_key || '":"' || lv || '"' || CASE WHEN line_no % 6 = 0 THEN ',"severity":"' || lv || '"' ELSE '' END AS lv_js,
     CASE WHEN msg_key = 'fields.message' THEN '"fields":{"message":"' || said_js || '"}' ELSE '"' || msg_key || '":"' || said_js || '"' END AS msg_js
   FROM u),
+x AS (SELECT *, '"user_id":' || user_id || ',"k":' || k || ',"tags":["a",' || CASE WHEN line_no % 2 = 0 THEN '"b"' ELSE 'null' END || ',"c"]' AS inner_js FROM w),
+e AS (SELECT *, CASE WHEN line_no % 7 = 0 THEN
+      '{"timestamp":"' || ts || '","level":' || CASE WHEN line_no % 3 = 0 THEN '"' || lv || '"' ELSE 'null' END
+      || ',"lvl":' || CASE WHEN line_no % 3 = 1 THEN '"' || lv || '"' ELSE 'null' END
+      || ',"severity":' || CASE WHEN line_no % 3 = 2 OR line_no % 6 = 0 THEN '"' || lv || '"' ELSE 'null' END
+      || ',"message":' || CASE WHEN line_no % 4 = 0 THEN '"' || said_js || '"' ELSE 'null' END
+      || ',"msg":' || CASE WHEN line_no % 4 = 1 THEN '"' || said_js || '"' ELSE 'null' END
+      || ',"body":' || CASE WHEN line_no % 4 = 2 THEN '"' || said_js || '"' ELSE 'null' END
+      || ',"fields":' || CASE WHEN line_no % 4 = 3 THEN '{"message":"' || said_js || '"}' ELSE 'null' END
+      || ',"data":{' || inner_js || ',"error_code":' || CASE WHEN code IS NULL THEN 'null' ELSE '"' || code || '"' END || '}}'
+    ELSE '{"timestamp":"' || ts || '",' || lv_js || ',' || msg_js || ',"data":{' || inner_js || CASE WHEN code IS NULL THEN '' ELSE ',"error_code":"' || code || '"' END || '}}' END AS raw
+  FROM x),
 r AS (SELECT *, '{"timestamp":"' || ts || '",' || lv_js || ',' || msg_js || ',' || data_js || '}' AS js,
     '{' || CASE WHEN line_no % 6 = 0 THEN '"severity":"' || lv || '",' ELSE '' END
       || CASE WHEN msg_key = 'fields.message' THEN '"fields":{},' ELSE '' END || data_js || '}' AS rest_js

@@ -7,6 +7,7 @@ from lograft.functions import records as R
 from lograft.functions.paths import parse_path, variant_path
 from lograft.operators import cleaning as C
 from lograft.operators import normalize as N
+from lograft.plans import layout as L
 from lograft.sources import lines as S
 from lograft.streaming import streams
 
@@ -42,7 +43,7 @@ def test_strict(spark):
     sound = seen.filter("line_no < 5")
     assert C.strict_prefix(sound, ["line_no"]).count() == 2 == C.strict_fail(sound).count()
     with pytest.raises(Exception, match="non_json line"):
-        C.strict_fail(seen).collect()
+        C.strict_fail(C.classify_lines(_lines(spark).coalesce(1))).collect()
 
 
 def test_take(spark):
@@ -82,6 +83,31 @@ def test_discovered_schema_keeps_unlike_types(spark):
     assert shown == ['{"a":1,"b":{"c":"x"}}', '{"a":"one","d":[1.5]}']
 
 
+def test_discovered_names_stay_as_they_are(spark):
+    lines = [('{"AVOIDED":1,"OBJECT<x":{"VOID":null,"q`t":"z"},"a b":[true]}',)]
+    df = spark.createDataFrame(lines, "clean string")
+    schema = R.discover_schema(df)
+    assert set(schema.names) == {"AVOIDED", "OBJECT<x", "a b"}
+    assert df.select(F.to_json(R.parse_struct("clean", schema))).first()[0] == '{"AVOIDED":1,"OBJECT<x":{"q`t":"z"},"a b":[true]}'
+    arrays = spark.createDataFrame([("[1,2]",), ("[3]",)], "clean string")
+    assert [list(r[0]) for r in arrays.select(R.parse_struct("clean", R.discover_schema(arrays))).collect()] == [[1, 2], [3]]
+    assert R.discover_schema(df.limit(0)).names == []
+
+
+def test_invalid_bytes_are_told_from_their_sign(spark):
+    df = spark.createDataFrame([(0, bytearray(b'{"a":"\xff"}')), (1, bytearray('{"a":"\ufffd"}'.encode())), (2, bytearray(b"{}"))], "line_no long, b binary")
+    seen = C.classify_lines(df.select("line_no", F.lit("s").alias("source"), F.col("b").cast("string").alias("line")))
+    report = C.parse_quality_report(seen, "line_no").collect()
+    assert [(r["lines"], r["invalid_utf8"], r["error_class"]) for r in report] == [(3, 1, None)]
+
+
+def test_parsed_once(spark):
+    seen = C.classify_lines(_lines(spark), parsed="v")
+    assert seen.filter("(status = 'record') <> (v is not null)").count() == 0
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("tryParseJson") + plan.count("parseJson") <= 1 or plan.count("VariantExpressionEvalUtils") <= 1
+
+
 def test_levels(spark):
     df = spark.createDataFrame([("INFO",), ("warn",), ("Info",), (None,), ("NOTICE",)], "level string")
     got = df.select(N.severity("level"), N.severity_rank("level"), N.pad_level("level")).collect()
@@ -96,6 +122,14 @@ def test_files_and_streams_agree(spark, tmp_path):
     streams.run_available(S.stream_log_lines(spark, f"{tmp_path}/in", 1), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     streamed = spark.read.parquet(f"{tmp_path}/out")
     assert sorted(map(tuple, streamed.select("line", "status").collect())) == sorted(map(tuple, batch.select("line", "status").collect()))
+    shown = lambda df: N.normalize_log(df.filter("status = 'record'").withColumn("r", R.parse_struct("clean", "a long, level string"))).select("line", "level", "data")
+    render = lambda df: L.default_render(df.filter("status = 'record'").withColumn("r", R.parse_variant("clean"))).select("line", "text")
+    for k, change in enumerate((shown, render)):
+        streams.run_available(S.stream_log_lines(spark, f"{tmp_path}/in", 1), f"{tmp_path}/o{k}", f"{tmp_path}/c{k}", change).awaitTermination()
+        assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/o{k}").collect()), key=repr) == sorted(map(tuple, change(batch).collect()), key=repr)
+    first = S.stream_log_lines(spark, f"{tmp_path}/in").limit(3).writeStream.format("memory").queryName("first_lines").outputMode("append").trigger(availableNow=True).start()
+    first.awaitTermination()
+    assert spark.table("first_lines").count() == 3
     streams.route(S.stream_log_lines(spark, f"{tmp_path}/in"), f"{tmp_path}/good", f"{tmp_path}/bad", f"{tmp_path}/cp2").awaitTermination()
     good, bad = (spark.read.parquet(f"{tmp_path}/{x}").count() for x in ("good", "bad"))
     assert (good, bad) == (batch.filter("status = 'record'").count(), batch.filter(F.col("status").isin(*C.BAD)).count())
