@@ -32,6 +32,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_batches(df: DataFrame, size: int = 8 << 20) -> DataFrame:
+    """``df``, after bounding the Arrow batches of its session by bytes: ten thousand long texts must not meet in one Python worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    return df
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete at the end what was cut inside. Results must be written by then."""

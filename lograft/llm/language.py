@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lograft.llm.common import in_batches
+
 #: Components of a vector, letters of an n-gram, letter codes (0: between words).
 DIMS, GRAM, CODES = 512, 3, 128
 UNKNOWN = "und"
@@ -117,7 +119,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
     them where there are fewer. Vectors are added up where the rows lie; one sum per language and
     task is shuffled, and one row per language comes to the driver.
     """
-    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+    known = in_batches(docs).filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")
     )
     totals = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lograft.llm.boosting import Trees, boost
+from lograft.llm.common import in_batches
 
 #: Kinds with a strict pattern, and one that only the trees find.
 BASE = ("email", "ip", "card", "phone")
@@ -310,7 +311,7 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = 2_000, rounds: in
     one half at which ``precision`` holds over all these scores.
     """
     draw = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    text = docs.select(F.col(text_col).alias("text")).filter(F.col("text").isNotNull() & (draw < sample / max(1, docs.count())))
+    text = in_batches(docs).select(F.col(text_col).alias("text")).filter(F.col("text").isNotNull() & (draw < sample / max(1, docs.count())))
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

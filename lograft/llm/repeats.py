@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lograft.llm.common import cut
+from lograft.llm.common import cut, in_batches
 from lograft.llm.fmindex import STEP, FMIndex
 from lograft.llm.segments import runs, split
 
@@ -176,7 +176,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``bounds`` are the sizes that ``repeated_spans`` takes.
     """
     name, text = F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.xxhash64(name).alias("d"), F.xxhash64(text).alias("g"), name.alias("id"), text.alias("text"))
+    rows = in_batches(docs).select(F.xxhash64(name).alias("d"), F.xxhash64(text).alias("g"), name.alias("id"), text.alias("text"))
     spans, packed = repeated_spans(rows, window, **bounds)
     both = packed.join(spans, ["d", "g"], "left").select("id", "z", "list")
 

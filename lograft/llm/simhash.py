@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lograft.llm.common import cut, join_hot
+from lograft.llm.common import cut, in_batches, join_hot
 from lograft.llm.components import components
 
 #: Seed of the shingle hash.
@@ -167,7 +167,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids of the component are null. Further columns of ``docs`` are ignored, an empty table gives an
     empty one. Equal fingerprints meet once, as one node, however many rows share them.
     """
-    marked = cut(docs.select(F.col(id_col), fingerprint(text_col, shingle).alias("fp")), "fingerprints")
+    marked = cut(in_batches(docs).select(F.col(id_col), fingerprint(text_col, shingle).alias("fp")), "fingerprints")
     nodes = cut(marked.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")), "nodes")
     roots = components(links(nodes, "fp", radius), "a", "b")
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select(
