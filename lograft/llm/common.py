@@ -49,14 +49,16 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             delete(spark, path)
 
 
-def join_hot(rows: DataFrame, keyed: DataFrame, key: str, share: float = 0.001) -> DataFrame:
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, share: float = 0.001, total: int | None = None) -> DataFrame:
     """Inner join of ``rows`` with ``keyed`` (distinct ``key``, the number ``n`` of rows that have it, further columns).
 
     Keys that hold at least ``share`` of all rows are broadcast: there are at most ``1 / share`` of them,
     whatever the input, so no such key is shuffled into one task. All others meet by a shuffle.
-    ``rows`` and ``keyed`` are read twice and so should be cut.
+    ``rows`` and ``keyed`` are read twice and so should be cut, or end in a shuffle that both reads share.
+    ``total``, the number of all rows, is counted where it is not given.
     """
-    total = keyed.agg(F.sum("n")).first()[0] or 0
+    if total is None:
+        total = keyed.agg(F.sum("n")).first()[0] or 0
     hot = F.col("n") >= max(1.0, share * total)
     big = F.broadcast(keyed.filter(hot).drop("n"))
     return rows.join(big, key).unionByName(rows.join(big.select(key), key, "left_anti").join(keyed.filter(~hot).drop("n").hint("merge"), key))

@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lograft.llm.common import cut
+from lograft.llm.common import cut, join_hot
 
 
-def _stars(links: DataFrame, large: bool) -> DataFrame:
-    """One contraction of links (u > v).
+def _stars(links: DataFrame, large: bool, count: int) -> DataFrame:
+    """One contraction of links (u > v), whose number is about ``count``.
 
     Large stars tie the larger neighbours of each node to its least neighbour, small stars tie the
-    smaller ones and the node itself. Minima come from a partial aggregation and are joined back, so
-    a node with very many links is split over tasks like any other skewed join key.
+    smaller ones and the node itself. Minima come from a partial aggregation and are joined back;
+    nodes with very many links, as the root of a large component has, meet theirs by broadcast.
     """
     flipped = links.select(F.col("v").alias("u"), F.col("u").alias("v"))
     near = links.unionByName(flipped) if large else links
-    least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    tied = near.join(least, "u")
+    least = near.groupBy("u").agg(F.count("*").alias("n"), F.least("u", F.min("v")).alias("m"))
+    tied = join_hot(near, least, "u", total=count)
     if large:
         out = tied.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -46,4 +46,4 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         if seen == before or not seen[0]:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = seen
-        links = cut(_stars(_stars(links, large=True), large=False), "links")
+        links = cut(_stars(_stars(links, True, seen[0]), False, seen[0]), "links")
