@@ -84,4 +84,64 @@ SELECT d.doc_id, any_value(len(d.w)) AS n_words, count(g.k) AS n_removed,
 FROM d LEFT JOIN t ON d.doc_id = t.doc_id LEFT JOIN g ON t.doc_id = g.doc_id AND t.k = g.k GROUP BY d.doc_id
 """
 
-ORACLES = {"op4_chat": CHAT, "op6_lines": LINES, "op7_topk": TOPK, "op8_decontaminate": OVERLAPS, "op9_repeats": REPEATS}
+_BYTE = "strpos('123456789ABCDEF', h[2 * i + 1]) * 16 + strpos('123456789ABCDEF', h[2 * i + 2])"
+
+#: CRC-32 spelled out: a table of 256 entries by its rule, then one step per byte of each distinct word.
+RESAMPLE = f"""
+WITH tab AS (SELECT list_transform(range(0, 256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+d AS (SELECT doc_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS x FROM benchmark),
+f AS (SELECT doc_id, unnest(w) AS x FROM d),
+u AS (SELECT x, hex(encode(x)) AS h FROM (SELECT x FROM f UNION SELECT x FROM b)),
+y AS (SELECT x, list_prepend(4294967295, list_transform(range(0, len(h) // 2), lambda i: CAST({_BYTE} AS BIGINT))) AS bytes FROM u),
+k AS (SELECT x, xor(list_reduce(bytes, lambda c, v: xor(c // 256, t[CAST(xor(c % 256, v) AS INT) + 1])), 4294967295) % 10000 AS bucket FROM y, tab),
+s AS (SELECT bucket, count(*) AS s FROM f JOIN k USING (x) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN k USING (x) GROUP BY bucket),
+n AS (SELECT (SELECT count(*) FROM f) AS S, (SELECT count(*) FROM b) AS T),
+g AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t.t, 0) + 1)::DOUBLE * (n.S + 10000)::DOUBLE / ((s.s + 1)::DOUBLE * (n.T + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket), n),
+w AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM f JOIN k USING (x) JOIN g USING (bucket) GROUP BY doc_id),
+h AS (SELECT doc_id, ('0x' || sha256('2024:' || doc_id)[1:8])::BIGINT::DOUBLE AS h FROM d),
+r AS (
+  SELECT d.doc_id, len(d.w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((h.h + 0.5) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM d LEFT JOIN w USING (doc_id) JOIN h ON d.doc_id = h.doc_id),
+z AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM r WHERE n_features >= 20)
+SELECT r.doc_id, n_features, weight, score, CASE WHEN z.rank <= z.n * 10 // 100 THEN z.rank END AS rank FROM r LEFT JOIN z ON r.doc_id = z.doc_id
+"""
+
+#: By first failing filter of each order; no coalitions and no least squares.
+AUDIT = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '{BLANK}'), lambda x: x <> '') AS w FROM documents),
+c AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 3 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN d.doc_id > c.first THEN 'E' ELSE '' END AS fails
+  FROM d JOIN c USING (text) LEFT JOIN l USING (doc_id)),
+q AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, fails),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE a.f <> b.f AND a.f <> c.f AND a.f <> d.f AND a.f <> e.f AND b.f <> c.f AND b.f <> d.f AND b.f <> e.f AND c.f <> d.f AND c.f <> e.f AND d.f <> e.f),
+s AS (SELECT filter_order, unnest(range(1, 6))::INT AS step FROM o),
+p AS (
+  SELECT part, filter_order, step, filter_order[step] AS f, n, good, toxic, fails = filter_order[step] AS sole,
+    contains(fails, filter_order[step]) AS fail, len(list_filter(range(1, step), lambda i: contains(fails, filter_order[i]))) > 0 AS gone
+  FROM q, s),
+y AS (
+  SELECT part, filter_order, step, f, sum(CASE WHEN NOT gone AND NOT fail THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN NOT gone AND fail THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN gone AND fail THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN sole THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN NOT gone AND fail THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN NOT gone AND fail THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM p GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM y
+"""
+
+ORACLES = {
+    "op4_chat": CHAT, "op6_lines": LINES, "op7_topk": TOPK, "op8_decontaminate": OVERLAPS, "op9_repeats": REPEATS,
+    "op11_resample": RESAMPLE, "op13_filter_audit": AUDIT,
+}
