@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lograft.llm import audit, chat, decontaminate, language, lines, mixing, pii, repeats, resample, sharding, simhash, topk
+from lograft.llm import audit, chat, decontaminate, language, lines, mixing, outliers, pii, repeats, resample, sharding, simhash, topk
 from lograft.llm.common import table
 from lograft.llm.oracles import ORACLES
 
@@ -76,12 +76,16 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.judge(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 _ALL = (
     op1_mixing, op2_simhash, op3_pii, op4_chat, op5_language_id, op6_lines, op7_topk, op8_decontaminate, op9_repeats, op10_sharding,
-    op11_resample, op13_filter_audit,
+    op11_resample, op12_quality_rules, op13_filter_audit,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
