@@ -7,6 +7,7 @@ it), and a variant for records of any shape. All functions are plain column expr
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(col: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a column that is computed once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(col), use), F.lit(0))
+
+
 # -- parsing -------------------------------------------------------------------------------------
 
 
@@ -35,6 +41,11 @@ def parse_struct(text: Column | str, schema: T.DataType | str) -> Column:
     return F.from_json(_col(text), schema, _STRICT)
 
 
+def struct_of(v: Column | str, schema: T.DataType) -> Column:
+    """A parsed variant as a struct of ``schema``, so that the text is not parsed again; fields that are missing or of another type are null."""
+    return _col(v).try_cast(schema)
+
+
 def discover_schema(df: DataFrame, column: str = "clean") -> T.DataType:
     """The merged schema of all records of a text column: one pass, one small row to the driver.
 
@@ -110,10 +121,25 @@ def json_pointer(v: Column | str, pointer: str) -> Column:
         return F.lit(None).cast("variant")
     if not tokens:
         return _col(v)
-    ways = [[t, int(t)] if t.isdigit() and (t == "0" or t[0] != "0") else [t] for t in tokens]
+    ways = [[t, int(t)] if t.isdigit() and (t == "0" or t[0] != "0") and len(t) < 10 else [t] for t in tokens]
     return F.coalesce(*(F.try_variant_get(_col(v), variant_path(w), "variant") for w in product(*ways)))
 
 
+def json_pointer_at(v: Column | str, pointer: Column) -> Column:
+    """``json_pointer`` with a pointer of each row: its tokens are walked one by one, with the value reached as state.
+
+    A pointer that is null or begins with no slash reaches nothing, an empty one the whole record.
+    """
+    tokens = F.transform(F.split(F.substring(pointer, 2, (1 << 31) - 1), "/"), lambda t: F.replace(F.replace(t, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")))
+
+    def step(at: Column, token: Column) -> Column:
+        place = F.when(token.rlike("^(0|[1-9][0-9]{0,8})$"), token.cast("int"))
+        members, items = F.try_variant_get(at, "$", "map<string,variant>"), F.try_variant_get(at, "$", "array<variant>")
+        return F.coalesce(F.try_element_at(members, token), F.get(items, place))
+
+    return F.when(pointer == "", _col(v)).when(F.startswith(pointer, F.lit("/")), F.aggregate(tokens, _col(v), step))
+
+
 def entries(df: DataFrame, variant: str = "v") -> DataFrame:
     """A row per key and value of each object: ``pos, key, value`` beside the other columns."""
     return df.lateralJoin(df.sparkSession.tvf.variant_explode(F.col(variant).outer()))
@@ -121,11 +147,10 @@ def entries(df: DataFrame, variant: str = "v") -> DataFrame:
 
 def json_kind(v: Column | str) -> Column:
     """object, array, string, value or null."""
-    s = F.schema_of_variant(_col(v))
-    return (
+    return bound(F.schema_of_variant(_col(v)), lambda s: (
         F.when(s.isNull() | (s == "VOID"), "null").when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array")
         .when(s == "STRING", "string").otherwise("value")
-    )
+    ))
 
 
 def as_text(col: Column, kind: T.DataType | None, pretty: bool = False) -> Column:
@@ -133,9 +158,12 @@ def as_text(col: Column, kind: T.DataType | None, pretty: bool = False) -> Colum
     if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
         return to_pretty_json(col, kind) if pretty else to_compact_json(col, kind)
     if isinstance(kind, T.VariantType):
-        whole = json_kind(col).isin("object", "array")
-        text = to_pretty_json(col, kind) if pretty else to_compact_json(col, kind)
-        return F.when(~F.is_variant_null(col), F.when(whole, text).otherwise(F.try_variant_get(col, "$", "string")))
+
+        def told(v: Column) -> Column:
+            text = to_pretty_json(v, kind) if pretty else to_compact_json(v, kind)
+            return F.when(~F.is_variant_null(v), F.when(json_kind(v).isin("object", "array"), text).otherwise(F.try_variant_get(v, "$", "string")))
+
+        return bound(col, told)
     return col.cast("string")
 
 
@@ -171,7 +199,7 @@ def truthy_value(col: Column, kind: T.DataType | None) -> Column:
     elif isinstance(kind, T.ArrayType):
         out = F.exists(col, lambda x: x.isNotNull())
     elif isinstance(kind, T.VariantType):
-        out = truthy_variant(col)
+        out = bound(col, truthy_variant)
     else:
         out = col.isNotNull()
     return F.coalesce(out, F.lit(False))
@@ -363,20 +391,39 @@ def has_content(col: Column, kind: T.DataType, used: Used, at: Path = ()) -> Col
     return col.isNotNull()
 
 
-#: Levels of objects and arrays within which a variant is printed without nulls; what lies deeper is printed as it is.
-DEPTH = 5
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+#: Pieces of compact JSON: a text, a name with its colon, a name with its null, a bracket, any other value. Commas are left out.
+_PIECE = rf"{_STRING}(?::(?:null(?=[,}}]))?+)?+|[{{}}\[\]]|[^\s,:{{}}\[\]\"]++"
+
+
+def without_nulls(text: Column) -> Column:
+    """Compact JSON text without the nulls of its objects and arrays, at any depth, in one pass over its pieces.
+
+    Pieces that are null, or a name with null, go; commas are put between what is left: after a value, before
+    a name or value. Nothing depends on depth, and texts that hold no such letters are passed on.
+    """
+
+    def put(kept: Column) -> Column:
+        def piece(t: Column, i: Column) -> Column:
+            before = F.substring(F.get(kept, i - 1), -1, 1)
+            return F.when((i > 0) & ~before.isin("{", "[", ":") & ~t.isin("}", "]"), F.concat(F.lit(","), t)).otherwise(t)
 
+        return F.array_join(F.transform(kept, piece), "")
 
-def pruned(col: Column, kind: T.DataType, depth: int = DEPTH) -> Column:
-    """Without the nulls in its arrays; those in objects are left out when printed, in variants here."""
-    if isinstance(kind, T.VariantType) and depth:
-        held = lambda x: x.isNotNull() & ~F.is_variant_null(x)
-        members, items = F.try_variant_get(col, "$", "map<string,variant>"), F.try_variant_get(col, "$", "array<variant>")
-        kept = F.transform_values(F.map_filter(members, lambda k, x: held(x)), lambda k, x: pruned(x, kind, depth - 1))
-        out = F.when(members.isNotNull(), F.to_variant_object(kept))
-        return out.when(items.isNotNull(), F.to_variant_object(F.transform(F.filter(items, held), lambda x: pruned(x, kind, depth - 1)))).otherwise(col)
+    def clean(t: Column) -> Column:
+        held = F.filter(F.regexp_extract_all(t, F.lit(_PIECE), F.lit(0)), lambda x: (x != "null") & ~F.endswith(x, F.lit(":null")))
+        return F.when(~F.contains(t, F.lit("null")) | (t == "null"), t).otherwise(bound(held, put))
+
+    return bound(text, clean)
+
+
+def pruned(col: Column, kind: T.DataType) -> Column:
+    """Without the nulls in its arrays; those in objects are left out when printed, in variants here, at any depth."""
+    if isinstance(kind, T.VariantType):
+        return F.parse_json(without_nulls(F.to_json(col)))
     if isinstance(kind, T.ArrayType):
-        inner = F.filter(col, lambda x: x.isNotNull())
+        none = lambda x: x.isNotNull() & ~F.is_variant_null(x) if isinstance(kind.elementType, T.VariantType) else x.isNotNull()
+        inner = F.filter(col, none)
         return F.transform(inner, lambda x: pruned(x, kind.elementType)) if _has_array(kind.elementType) else inner
     if isinstance(kind, T.StructType) and _has_array(kind):
         return F.when(col.isNotNull(), F.struct(*(pruned(col.getField(f.name), f.dataType).alias(f.name) for f in kind.fields)))
@@ -389,6 +436,8 @@ def _has_array(kind: T.DataType) -> bool:
 
 def to_compact_json(col: Column | str, kind: T.DataType) -> Column:
     """One line of JSON without nulls."""
+    if isinstance(kind, T.VariantType):
+        return without_nulls(F.to_json(_col(col)))
     return F.to_json(pruned(_col(col), kind))
 
 

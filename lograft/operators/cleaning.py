@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _ESC = "\x1b"
-#: Terminal control sequences (CSI) and operating system commands (OSC).
-_ANSI = r"\x1b\[[0-?]*[ -/]*[@-~]|\x1b\][^\x07\x1b]*(?:\x07|\x1b\\)"
+#: Terminal sequences, as 7-bit and 8-bit forms: controls (CSI), commands to the system (OSC), strings (DCS, SOS, PM, APC),
+#: and all other escapes, with or without intermediate signs. One that does not end takes the rest of the line.
+_ANSI = (
+    r"(?:\x1b\[|\u009b)[0-?]*+[ -/]*+(?:[@-~]|$)|(?:\x1b\]|\u009d)[^\x07\x1b\u009c]*+(?:\x07|\x1b\\|\u009c|$)"
+    r"|(?:\x1b[PX^_]|[\u0090\u0098\u009e\u009f])[^\x1b\u009c]*+(?:\x1b\\|\u009c|$)|\x1b[ -/]*+(?:[0-~]|$)"
+)
+_EIGHT_BIT = r"[\u0090\u0098\u009b\u009d-\u009f]"
 #: Blanks of any script at either end.
 _ENDS = r"(?U)^\s+|\s+$"
 BAD = ("non_json", "truncated", "malformed")
@@ -32,9 +37,10 @@ def drop_blank(df: DataFrame, column: str = "line") -> DataFrame:
 
 
 def strip_ansi(line: Column | str) -> Column:
-    """Remove terminal sequences; lines without an escape character are passed on untouched."""
+    """Remove terminal sequences; lines without an escape character, also of the 8-bit kind, are passed on untouched."""
     line = F.col(line) if isinstance(line, str) else line
-    return F.when(F.contains(line, F.lit(_ESC)), F.regexp_replace(line, _ANSI, "")).otherwise(line)
+    eight_bit = (F.octet_length(line) > F.length(line)) & line.rlike(_EIGHT_BIT)
+    return F.when(F.contains(line, F.lit(_ESC)) | eight_bit, F.regexp_replace(line, _ANSI, "")).otherwise(line)
 
 
 def clean(line: Column | str) -> Column:
@@ -111,3 +117,29 @@ def parse_quality_report(classified: DataFrame, order: str, by: list[str] | None
         F.sum((~F.is_valid_utf8("line")).cast("long")).alias("invalid_utf8"),
     )
     return report.withColumn("error_class", F.when(F.col("status").isin(*BAD), F.col("status")))
+
+
+#: What is counted while lines pass by, with the line that it is counted from.
+STATUSES = ("record", "blank", *BAD)
+
+
+def observed_quality(classified: DataFrame, name: str = "quality") -> tuple[DataFrame, Observation]:
+    """The same lines, and an observation that holds their counts once they are written: no pass of its own.
+
+    On a stream name the metrics with ``classified.observe(name, *quality_metrics())``: each progress report carries them.
+    """
+    told = Observation(name)
+    return classified.observe(told, *quality_metrics()), told
+
+
+def quality_metrics() -> list[Column]:
+    """Lines of each status, all lines, and those whose bytes are no valid UTF-8."""
+    each = [F.count(F.when(F.col("status") == s, 1)).alias(s) for s in STATUSES]
+    return [*each, F.count(F.lit(1)).alias("lines"), F.count(F.when(~F.is_valid_utf8("line"), 1)).alias("invalid_utf8")]
+
+
+def quality_row(spark: SparkSession, told: Observation) -> DataFrame:
+    """What was observed, as a table of one row. Waits for the write that it is observed in."""
+    got = told.get
+    names = [*STATUSES, "lines", "invalid_utf8"]
+    return spark.createDataFrame([tuple(got[n] for n in names)], ", ".join(f"{n} long" for n in names))

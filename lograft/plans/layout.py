@@ -7,8 +7,9 @@ A layout is a list of pieces: text, ``arg`` (the first option that is there), ``
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -142,8 +143,16 @@ class _Builder:
     layouts: Layouts
     compact: bool
     omit_empty_rest: bool
+    #: Gives the outcome of a test on one field, by the name of the test; the column computes it.
+    flag: Callable[[tuple[str, str], Column], Column]
     used: dict[Path, Column] = field(default_factory=dict)
-    printed: list[Column] = field(default_factory=list)
+
+    def there(self, option: str) -> Column:
+        return self.flag(("there", option), R.field(self.record, self.schema, option).isNotNull())
+
+    def true(self, option: str) -> Column:
+        col = R.field(self.record, self.schema, option)
+        return self.flag(("true", option), R.truthy_value(col, R.type_at(self.schema, parse_path(option))))
 
     def splice(self, names: tuple[str, ...], seen: tuple[str, ...] = ()) -> Arg | list | None:
         """One list of options from several named layouts; empty layouts vanish."""
@@ -184,8 +193,10 @@ class _Builder:
             return F.lit(True) if kind == "key" else R.has_content(self.record, self.schema, self.used)
         if WHOLE in options:
             return F.lit(True) if kind == "key" else R.truthy_value(self.record, self.schema)
-        test = {"key": R.has_key, "if": R.truthy, "any": R.any_truthy}[kind]
-        return test(self.record, self.schema, *options)
+        if kind != "if":
+            return reduce(Column.__or__, map(self.there if kind == "key" else self.true, options))
+        first = F.when(self.there(options[0]), self.true(options[0]))
+        return reduce(lambda out, o: out.when(self.there(o), self.true(o)), options[1:], first).otherwise(F.lit(False))
 
     def value(self, a: Arg, active: Column | None) -> Column:
         compact = self.compact if a.compact is None else a.compact
@@ -203,9 +214,9 @@ class _Builder:
                 col, kind = R.field(self.record, self.schema, o), R.type_at(self.schema, at)
                 texts.append(R.as_text(col, kind, pretty=not compact))
                 if kind is not None:
-                    chosen = col.isNotNull() & ~earlier if active is None else active & col.isNotNull() & ~earlier
+                    chosen = self.there(o) & ~earlier if active is None else active & self.there(o) & ~earlier
                     self.used[at] = self.used[at] | chosen if at in self.used else chosen
-                    earlier = earlier | col.isNotNull()
+                    earlier = earlier | self.there(o)
             out = F.coalesce(*texts)
         return R.indent_by(F.coalesce(out, F.lit("")), a.indent)
 
@@ -248,10 +259,23 @@ def layout_column(
     record: Column | str, schema: T.DataType, pieces: list, layouts: Layouts | None = None,
     compact: bool = True, omit_empty_rest: bool = False,
 ) -> Column:
-    """The text of each record; null where the record is."""
+    """The text of each record; null where the record is.
+
+    Tests on fields of a variant are long expressions that branches and what is left over refer to again and again,
+    so each is computed once, into an array of outcomes. Tests on a struct are short and stay in place.
+    """
     col = F.col(record) if isinstance(record, str) else record
-    text = _Builder(col, schema, layouts or {}, compact, omit_empty_rest).build(pieces)
-    return F.when(col.isNotNull(), text)
+
+    def text(flag: Callable[[tuple[str, str], Column], Column]) -> Column:
+        return _Builder(col, schema, layouts or {}, compact, omit_empty_rest, flag).build(pieces)
+
+    if not isinstance(schema, T.VariantType):
+        return F.when(col.isNotNull(), text(lambda _, test: test))
+    tests: dict[tuple[str, str], Column] = {}
+    text(lambda name, test: tests.setdefault(name, test))
+    place = {name: k for k, name in enumerate(tests)}
+    outcomes = F.array(*tests.values()) if tests else F.array(F.lit(False))
+    return F.when(col.isNotNull(), R.bound(outcomes, lambda got: text(lambda name, _: F.get(got, F.lit(place[name])))))
 
 
 def render(df: DataFrame, pieces: list, record: str = "r", layouts: Layouts | None = None, **how: bool) -> DataFrame:

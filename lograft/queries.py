@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lograft import wire as W
 from lograft.functions import records as R
 from lograft.operators import cleaning as C
+from lograft.operators import drift as D
+from lograft.operators import faults as E
 from lograft.operators import normalize as N
 from lograft.plans import layout as L
 from lograft.sources import lines as S
+from lograft.sources import ordered as O
 from lograft.sources.scratch import new_path
 from lograft.streaming import streams
 
@@ -38,9 +42,8 @@ def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``line_no, clean, r`` of the records: one parse each."""
-    kept = _classified(spark, sf_dir).filter("status = 'record'")
-    return kept.select("line_no", "clean", R.parse_struct("clean", W.SCHEMA).alias("r"))
+    """``line_no, r`` of the records: the struct is read from the variant that the test for a record has parsed."""
+    return _variants(spark, sf_dir).select("line_no", R.struct_of("v", W.SCHEMA).alias("r"))
 
 
 def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +109,53 @@ def write_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("line_no", F.col("status").cast("string").alias("status"))
 
 
+def _filed(spark: SparkSession, sf_dir: str, files: int = 10) -> str:
+    """A folder with the lines of the table in order, in files whose names are in order too."""
+    path = new_path(spark, "filed")
+    O.write_in_order(O.in_order(W.wire(spark, sf_dir), "line_no", partitions=files), path, "line")
+    return path
+
+
+@_query("SELECT row_number() OVER (ORDER BY line_no) AS line_no, sent AS line FROM s")
+def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The true number of every line, through all files."""
+    return O.read_numbered_lines(spark, _filed(spark, sf_dir), across=True).select("line_no", "line")
+
+
+@_query("""SELECT row_number() OVER (ORDER BY s.line_no) AS line_no, CASE WHEN s.status = 'record' THEN r.ts || ' ' || r.lv || ' ' || r.said || ' ' || r.rest_js ELSE sent END AS text
+    FROM s LEFT JOIN r ON s.line_no = r.line_no WHERE s.status <> 'blank'""")
+def ordered_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One output in the order of the input: records rendered, bad lines untouched; read back with its line numbers."""
+    dealt = O.in_order(O.read_numbered_lines(spark, _filed(spark, sf_dir)), *O.NUMBERED, partitions=10)
+    seen = C.classify_lines(dealt, parsed="v").withColumn("r", R.struct_of("v", W.SCHEMA))
+    path = new_path(spark, "echoed")
+    O.write_in_order(O.echoed(L.default_render(seen)), path)
+    return O.read_numbered_lines(spark, path, across=True).select("line_no", F.col("line").alias("text"))
+
+
+@_query("SELECT status, sent AS line FROM s ORDER BY line_no LIMIT 700")
+def take_first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first lines of many files; the files behind them stay unread."""
+    return C.classify_lines(O.take_first_lines(spark, _filed(spark, sf_dir), 700)).select("status", "line")
+
+
+_PREFIX = "SELECT sent AS line FROM s WHERE status = 'record' AND line_no < (SELECT min(line_no) FROM w WHERE status NOT IN ('record', 'blank'))"
+
+
+@_query(_PREFIX)
+def strict_prefix_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records before the first bad line of many files; the files behind it stay unread."""
+    return O.strict_prefix_lines(spark, _filed(spark, sf_dir)).select("line")
+
+
+@_query(_PREFIX)
+def strict_prefix_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on a stream, by the stop that the folder's state holds."""
+    out = new_path(spark, "prefix")
+    streams.strict_prefix(S.stream_log_lines(spark, _filed(spark, sf_dir)), out, new_path(spark, "stops"), new_path(spark, "offsets")).awaitTermination()
+    return spark.read.parquet(out).select("line")
+
+
 # -- cleaning and classification -----------------------------------------------------------------
 
 
@@ -120,6 +170,20 @@ def strip_ansi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.wire(spark, sf_dir).select("line_no", C.strip_ansi("line").alias("text"))
 
 
+@_query("SELECT line_no, raw AS text FROM e")
+def strip_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record between terminal sequences of all kinds, 7-bit and 8-bit, with and without an end."""
+    around = [
+        ("\x1b[1;31m", "\x1b[0m"), ("\x1b(B", "\x1bc"), ("\x1bP1$r0m\x1b\\", ""), ("\u009b31m", "\u009b0m"), ("\x1b]0;title\x07", "\x1b]0;"),
+        ("\x1b]8;;http://x\x1b\\", "\x1b]8;;\x1b\\"), ("\x1b7", "\x1b8\x1b="), ("\x1b_app\u009c", "\x1b[3"),
+    ]
+    i = F.col("event_id")
+    lines = W.written(spark, sf_dir)
+    put = lambda k: F.concat(F.lit(around[k][0]), F.col("js"), F.lit(around[k][1]))
+    line = F.coalesce(*(F.when(i % len(around) == k, put(k)) for k in range(len(around))))
+    return lines.select(i.alias("line_no"), C.strip_ansi(line).alias("text"))
+
+
 @_query("SELECT line_no, status FROM w")
 def classify_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir).select("line_no", "status")
@@ -163,25 +227,63 @@ def parse_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.parse_quality_report(seen.withColumn("line", line), "line_no").drop("snippet")
 
 
+_SHAPES = [  # a record damaged, and where and why it is no record, from its length
+    ("substr(js, 1, length(js) - 1)", "length(js) - 1", E.ENDS_EARLY), ("'{\"timestamp\" ' || substr(js, 14)", "13", E.NO_COLON), ("'{,' || substr(js, 2)", "1", E.NO_NAME),
+    ("substr(js, 1, length(js) - 1) || ',}'", "length(js)", E.EARLY_BRACE), ("'[' || js || ',]'", "length(js) + 2", E.EARLY_BRACKET), ("'[' || js || '}'", "length(js) + 1", E.NO_COMMA_ARRAY),
+    ("substr(js, 1, length(js) - 1) || ',\"x\":tru}'", "length(js) + 4", E.NOT_A_VALUE), ("substr(js, 1, length(js) - 1) || ',\"x\":\"a}'", "length(js) + 4", E.OPEN_TEXT),
+    ("substr(js, 1, length(js) - 1) || ',\"x\":\"' || chr(92) || 'q\"}'", "length(js) + 4", E.ODD_TEXT), ("substr(js, 1, length(js) - 1) || ' 1}'", "length(js)", E.NO_COMMA_OBJECT),
+    ("substr(js, 1, length(js) - 1) || ',\"x\":}'", "length(js) + 4", E.EARLY_BRACE), ("'[' || js || ',,1]'", "length(js) + 2", E.NO_VALUE),
+    ("substr(js, 1, length(js) - 1) || ',\"timestamp\":1}'", "NULL", E.OTHER), ("'x' || js", "0", E.NO_RECORD), ("js", "NULL", None),
+]
+
+
+def _case(values: list[str]) -> str:
+    return f"CASE line_no % {len(values)} " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(values)) + " END"
+
+
+@_query("SELECT line_no, " + _case([a for _, a, _ in _SHAPES]) + "::INT AS error_at, " + _case([f"'{r}'" if r else "NULL" for _, _, r in _SHAPES]) + " AS error_reason FROM r")
+def explain_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record, damaged in one of fourteen ways or not at all, with the place and the reason of its fault."""
+    js = R.to_compact_json("r", W.SCHEMA)
+    lines = C.computed_once(_records(spark, sf_dir).select("line_no", js.alias("js")), line=F.expr(_case([d for d, _, _ in _SHAPES])))
+    return E.explain_bad(C.classify_lines(lines)).select("line_no", "error_at", "error_reason")
+
+
+@_query(f"""SELECT 'events' AS source, count(*) AS lines, min(line_no) AS first_line,
+    CASE status WHEN 'non_json' THEN '{E.NO_RECORD}' WHEN 'truncated' THEN '{E.OPEN_TEXT}' ELSE '{E.NO_NAME}' END AS error_reason,
+    CASE status WHEN 'non_json' THEN 0 WHEN 'truncated' THEN 13 ELSE 1 END::INT AS first_at FROM w WHERE status NOT IN ('record', 'blank') GROUP BY status""")
+def fault_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.fault_report(_classified(spark, sf_dir), "line_no")
+
+
+@_query("SELECT " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in C.STATUSES) + ", count(*) AS lines, 0::BIGINT AS invalid_utf8 FROM w")
+def observed_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts observed while a stream writes its batches, added up over them."""
+    path, to = _filed(spark, sf_dir), [new_path(spark, n) for n in ("records", "bad", "offsets", "report")]
+    streams.route(S.stream_log_lines(spark, path, 3), *to[:3], report=to[3]).awaitTermination()
+    names = [*C.STATUSES, "lines", "invalid_utf8"]
+    return spark.read.parquet(to[3]).agg(*(F.sum(n).alias(n) for n in names))
+
+
 @_query("SELECT line_no, status = 'record' AS valid FROM w WHERE status <> 'blank'")
 def split_valid_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
     good, bad = C.split_valid_invalid(_classified(spark, sf_dir))
     return good.select("line_no", F.lit(True).alias("valid")).unionByName(bad.select("line_no", F.lit(False).alias("valid")))
 
 
-@_query("""SELECT count(*) AS records, true AS failed, first(status || ' line') AS said FROM (SELECT line_no FROM r) x,
-    (SELECT status FROM w WHERE status NOT IN ('record', 'blank') ORDER BY line_no LIMIT 1) y""")
+@_query("SELECT count(*) AS records, true AS failed FROM r")
 def strict_fail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strict reading fails at the bad lines of the table, here the first; without bad lines it passes all records."""
+    """Strict reading of the whole table fails and names a bad line; without the bad lines it passes all records."""
     seen = _classified(spark, sf_dir)
-    first = seen.filter(F.col("status").isin(*C.BAD)).orderBy("line_no").limit(1)
-    said = ""
     try:
-        C.strict_fail(seen.join(first.select("line_no"), "line_no", "left_semi").unionByName(seen.filter("status = 'record'"))).count()
+        C.strict_fail(seen).write.format("noop").mode("overwrite").save()
+        failed = False
     except Exception as e:
-        said = next((f"{x} line" for x in C.BAD if f"{x} line: " in str(e)), "")
+        if not any(f"{x} line: " in str(e) for x in C.BAD):
+            raise
+        failed = True
     sound = C.strict_fail(seen.filter(~F.col("status").isin(*C.BAD)))
-    return sound.agg(F.count("*").alias("records")).select("records", F.lit(said != "").alias("failed"), F.lit(said).alias("said"))
+    return sound.agg(F.count("*").alias("records")).select("records", F.lit(failed).alias("failed"))
 
 
 @_query("SELECT line_no FROM r WHERE line_no < (SELECT min(line_no) FROM w WHERE status NOT IN ('record', 'blank'))")
@@ -247,11 +349,26 @@ def json_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_query("""SELECT line_no, key FROM (SELECT line_no, unnest(['timestamp', 'data', lv_key, split_part(msg_key, '.', 1)]) AS key FROM r WHERE line_no % 7 <> 0)
-    UNION ALL SELECT line_no, 'severity' FROM r WHERE line_no % 7 <> 0 AND line_no % 6 = 0
-    UNION ALL SELECT line_no, key FROM (SELECT line_no, unnest(['timestamp', 'level', 'lvl', 'severity', 'message', 'msg', 'body', 'fields', 'data']) AS key FROM r WHERE line_no % 7 = 0)""")
+@_query("""SELECT line_no, CASE line_no % 5 WHEN 0 THEN user_id::VARCHAR WHEN 1 THEN CASE WHEN line_no % 2 = 0 THEN '"b"' ELSE 'null' END
+    WHEN 2 THEN CASE WHEN msg_key = 'fields.message' THEN '"' || said_js || '"' END WHEN 3 THEN k::VARCHAR END AS value FROM r""")
+def json_pointer_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pointer of its own for each record."""
+    at = F.element_at(F.array(*map(F.lit, ("/data/user_id", "/data/tags/1", "/fields/message", "/data/k", "/nothing/0"))), (F.col("line_no") % 5 + 1).cast("int"))
+    return _variants(spark, sf_dir).select("line_no", F.to_json(R.json_pointer_at("v", at)).alias("value"))
+
+
+_MEMBERS = """SELECT line_no, 'timestamp' AS key, '"' || ts || '"' AS value FROM r UNION ALL SELECT line_no, 'data', NULL FROM r
+    UNION ALL SELECT line_no, key, CASE WHEN key = lv_key OR key = 'severity' AND line_no % 6 = 0 THEN '"' || lv || '"' ELSE 'null' END FROM (SELECT *, unnest(['level', 'lvl', 'severity']) AS key FROM r)
+      WHERE line_no % 7 = 0 OR key = lv_key OR key = 'severity' AND line_no % 6 = 0
+    UNION ALL SELECT line_no, key, CASE WHEN key = msg_key THEN '"' || said_js || '"' ELSE 'null' END FROM (SELECT *, unnest(['message', 'msg', 'body']) AS key FROM r) WHERE line_no % 7 = 0 OR key = msg_key
+    UNION ALL SELECT line_no, 'fields', CASE WHEN msg_key <> 'fields.message' THEN 'null' END FROM r WHERE line_no % 7 = 0 OR msg_key = 'fields.message'"""
+
+
+@_query(f"SELECT line_no, key, value, (row_number() OVER (PARTITION BY line_no ORDER BY key) - 1)::INT AS pos FROM ({_MEMBERS})")
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.entries(_variants(spark, sf_dir), "v").select("line_no", "key")
+    """Keys, places and scalar values of the members of each record."""
+    scalar = F.when(~R.json_kind("value").isin("object", "array"), F.to_json("value"))
+    return R.entries(_variants(spark, sf_dir), "v").select("line_no", "pos", "key", scalar.alias("value"))
 
 
 @_query("SELECT line_no, 'object' AS whole, 'array' AS tags, 'string' AS ts, 'value' AS user_id, 'null' AS none FROM r")
@@ -349,3 +466,27 @@ def rest_of_any_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT line_no, lpad(lv, 5, ' ') AS level FROM r")
 def level_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.normalize_log(_records(spark, sf_dir)).select("line_no", N.pad_level("level").alias("level"))
+
+
+@_query("""SELECT line_no, repeat('{"a":[{"b":', (line_no % 300)::INT) || '{"k":' || k || ',"s":"x' || chr(92) || '":null,[null]:null","u":' || user_id || ',"z":[{}]}' || repeat('}]}', (line_no % 300)::INT) AS text FROM w""")
+def nulls_at_any_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records up to 600 levels deep with nulls on each, printed without them."""
+    core = F.to_json(F.struct(F.expr("cast(get_json_object(props, '$.k') as bigint)").alias("k"), F.lit(None).cast("string").alias("n"), F.lit('x":null,[null]:null').alias("s"), F.col("user_id").alias("u")), {"ignoreNullFields": "false"})
+    deep = (F.col("event_id") % 300).cast("int")
+    text = F.concat(F.repeat(F.lit('{"a":[null,{"n":null,"b":'), deep), F.regexp_replace(core, "}$", ',"z":[null,{"y":null},null]}'), F.repeat(F.lit('},null],"c":null}'), deep))
+    lines = C.computed_once(W.written(spark, sf_dir).select("event_id", "user_id", "props"), text=text)
+    return lines.select(F.col("event_id").alias("line_no"), R.to_compact_json(F.parse_json("text"), T.VariantType()).alias("text"))
+
+
+_PATHS = """SELECT line_no, unnest(['$', '$.timestamp', '$.data', '$.data.user_id', '$.data.k', '$.data.tags', '$.data.tags[]']) AS path,
+      unnest(['object', 'string', 'object', 'bigint', 'bigint', 'array', 'string']) AS kind FROM r
+    UNION ALL SELECT line_no, '$.data.error_code', CASE WHEN code IS NULL THEN 'void' ELSE 'string' END FROM r WHERE code IS NOT NULL OR line_no % 7 = 0
+    UNION ALL SELECT line_no, '$.fields.message', 'string' FROM r WHERE msg_key = 'fields.message'
+    UNION ALL SELECT line_no, '$.' || key, CASE WHEN value IS NULL THEN 'object' WHEN value = 'null' THEN 'void' ELSE 'string' END FROM (""" + _MEMBERS + """) WHERE key NOT IN ('timestamp', 'data')"""
+
+
+@_query(f"SELECT path, kind, count(*) AS records, min(line_no) AS first_line, max(line_no) AS last_line FROM ({_PATHS}) GROUP BY path, kind")
+def schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of all records, added up from those of two halves."""
+    seen = _variants(spark, sf_dir)
+    return D.merged(D.drift_state(seen.filter("line_no % 2 = 0")).unionByName(D.drift_state(seen.filter("line_no % 2 = 1"))))

@@ -69,7 +69,7 @@ def wire(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(i.alias("line_no"), F.lit("events").alias("source"), "line")
 
 
-#: ``w``: every line with its status and the typed content of its record.
+#: ``w``: every line with its status and the typed content of its record; ``e`` and ``s`` add the record as written and the line as sent; ``r``: records.
 SQL = """
 WITH t AS (
   SELECT event_id AS line_no, user_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
@@ -105,6 +105,9 @@ e AS (SELECT *, CASE WHEN line_no % 7 = 0 THEN
       || ',"data":{' || inner_js || ',"error_code":' || CASE WHEN code IS NULL THEN 'null' ELSE '"' || code || '"' END || '}}'
     ELSE '{"timestamp":"' || ts || '",' || lv_js || ',' || msg_js || ',"data":{' || inner_js || CASE WHEN code IS NULL THEN '' ELSE ',"error_code":"' || code || '"' END || '}}' END AS raw
   FROM x),
+s AS (SELECT *, CASE WHEN status = 'blank' THEN ' ' || chr(9) || ' ' WHEN line_no % 97 = 96 THEN 'plain text line ' || line_no WHEN status = 'truncated' THEN raw[1:25]
+      WHEN status = 'non_json' THEN '"str"' WHEN status = 'malformed' THEN '{bad:1,' || raw[2:] WHEN line_no % 5 = 0 THEN chr(27) || '[31m' || raw || chr(27) || '[0m' ELSE raw END AS sent
+  FROM e),
 r AS (SELECT *, '{"timestamp":"' || ts || '",' || lv_js || ',' || msg_js || ',' || data_js || '}' AS js,
     '{' || CASE WHEN line_no % 6 = 0 THEN '"severity":"' || lv || '",' ELSE '' END
       || CASE WHEN msg_key = 'fields.message' THEN '"fields":{},' ELSE '' END || data_js || '}' AS rest_js
