@@ -24,6 +24,7 @@ SELECT conv_id, count(*) AS n_turns,
 FROM m GROUP BY conv_id
 """
 
+#: Which templates of the two kinds recur, from all lines; a line's fields are numbered from 1.
 LINES = f"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM d),
@@ -31,11 +32,26 @@ t AS (
   SELECT doc_id, i, list_transform(list_filter(string_split_regex(line, '{BLANK}'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t
   FROM l),
 f AS (
-  SELECT doc_id, i, len(t) || ' ' || array_to_string(t[1:4], ' ') AS leaf,
+  SELECT doc_id, i, len(t) AS n, len(t) || ' ' || array_to_string(t[1:4], ' ') AS head, CASE WHEN len(t) > 4 THEN len(t) || ' tail ' || array_to_string(t[len(t) - 3:], ' ') END AS tail,
+    list_transform(range(0, 9), lambda k: CAST(floor(k * len(t) / 8.0) AS INT)) AS b,
     list_transform(range(0, 8), lambda k: array_to_string(t[CAST(floor(k * len(t) / 8.0) AS INT) + 1 : CAST(floor((k + 1) * len(t) / 8.0) AS INT)], ' ')) AS fields
   FROM t WHERE len(t) > 0),
-m AS (SELECT DISTINCT a, b FROM (SELECT unnest(range(0, 8)) AS a) x, (SELECT unnest(range(0, 8)) AS b) y WHERE a < b),
-n AS (SELECT doc_id, i, md5(leaf || chr(10) || a || b || chr(10) || array_to_string(list_transform(range(0, 8), lambda k: CASE WHEN k = a OR k = b THEN '' ELSE fields[k + 1] END), chr(10))) AS template FROM f, m),
+m AS (SELECT [a, b] AS mask FROM (SELECT unnest(range(1, 9)) AS a) x, (SELECT unnest(range(1, 9)) AS b) y WHERE a < b),
+z AS (SELECT *, list_filter(range(1, 9), lambda k: b[k + 1] > 4 AND b[k + 1] > b[k]) AS free FROM f),
+v AS (
+  SELECT z.*, mask FROM z JOIN m ON len(free) > 2 AND list_contains(free, mask[1]) AND list_contains(free, mask[2])
+  UNION ALL SELECT z.*, free FROM z WHERE len(free) <= 2),
+o AS (
+  SELECT doc_id, i, n, n - list_sum(list_transform(mask, lambda k: b[k + 1] - b[k])) AS fixed,
+    md5(head || chr(10) || array_to_string(mask, ',') || chr(10) || array_to_string(list_transform(range(1, 9), lambda k: CASE WHEN list_contains(mask, k) THEN '' ELSE fields[k] END), chr(10))) AS template
+  FROM v),
+e AS (SELECT doc_id, i, n, b, fields, head AS leaf FROM f UNION ALL SELECT doc_id, i, n, b, fields, tail FROM f WHERE tail IS NOT NULL),
+u AS (SELECT doc_id, i, leaf, n, unnest(range(1, 9)) AS k, unnest(fields) AS content, unnest(list_transform(range(1, 9), lambda k: b[k + 1] - b[k])) AS size FROM e),
+c AS (SELECT leaf, k, content FROM u WHERE size > 0 GROUP BY leaf, k, content HAVING count(DISTINCT doc_id) >= 10),
+p AS (
+  SELECT doc_id, i, any_value(n) AS n, sum(u.size) AS fixed, md5(leaf || chr(10) || 'learned' || chr(10) || string_agg(k || ' ' || content, chr(10) ORDER BY k)) AS template
+  FROM u JOIN c USING (leaf, k, content) GROUP BY doc_id, i, leaf),
+n AS (SELECT doc_id, i, template FROM (SELECT * FROM o UNION ALL SELECT * FROM p) WHERE coalesce(fixed, n) = n OR fixed >= 8 AND 2 * fixed >= n),
 g AS (SELECT DISTINCT doc_id, i FROM n WHERE template IN (SELECT template FROM n GROUP BY template HAVING count(DISTINCT doc_id) >= 10))
 SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_dropped, sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '')) AS kept_sha256
 FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id

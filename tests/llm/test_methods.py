@@ -67,6 +67,22 @@ def test_two_templates_in_one_leaf(spark):
     assert all(n == 1 for i, n in got.items() if i < 500) and got[500] == got[501] == 0
 
 
+def test_variable_words_are_learned(spark):
+    """Three variable words in three fields, a variable first word, and short lines whose end alone is free."""
+    rng = random.Random(7)
+    fill = lambda n: [rng.choice(WORDS) + rng.choice("xyz") for _ in range(n)]
+    own = lambda k, i: f"{rng.choice(WORDS)}q{'abcdefghij'[i % 10]}{'abcd'[i // 10]}{'uvw'[k]}"
+    body, later = fill(24), fill(10)
+    rows = []
+    for i in range(40):
+        three = body[:]
+        for k, p in enumerate((6, 13, 20)):
+            three[p] = own(k, i)
+        rows.append((i, "\n".join([" ".join(three), " ".join([own(0, i), *later]), " ".join(["we", "went", "home", "and", own(1, i), own(2, i)])])))
+    got = {r[0]: (r[2], r[3]) for r in rows_of(lines.drop_lines(docs(spark, rows)))}
+    assert all(got[i] == (2, t.split("\n")[2]) for i, t in rows)
+
+
 def test_long_documents_are_linear(spark):
     rng = random.Random(2)
     body = "\n".join(f"{rng.choice(WORDS)} {rng.choice(WORDS)} {i % 7} end of a line" for i in range(40_000))
