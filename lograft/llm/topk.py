@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lograft.llm.common import cut
+from lograft.llm.common import cut, in_batches
+from lograft.sources.scratch import new_path
 
 
 def whole_numbers(vectors: DataFrame, id_col: str, vector_col: str, scale: float = 256.0) -> DataFrame:
@@ -83,7 +84,7 @@ _LEAST = np.iinfo(np.int64).min
 
 def search(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, every: int = 50,
-    scale: float = 256.0, segment: int = 16384, queries: int = 4096, block: int = 512,
+    scale: float = 256.0, segment: int = 16384, queries: int = 4096, block: int = 512, wave: int = 32 << 20,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` best candidates of every query, ties to the smaller id.
 
@@ -96,7 +97,8 @@ def search(
     Candidates lie in segments of about ``segment`` rows, ranges of the id. Every query first meets the
     segment it lies in. Its kth score there is the floor for all others, which it meets in groups of
     about ``queries``: blocks bounded below the floor are not scored, and what is below it never leaves
-    a task. Each pair of group and segment is one unit of work, spread over the cluster.
+    a task. Segments are never shuffled to meet queries: these are broadcast in waves of at most ``wave`` bytes of
+    components (a group at least), and each segment answers a wave where it is read.
     """
     found = whole_numbers(vectors.filter(F.col(id_col).isNotNull()), id_col, vector_col, scale).withColumn("dims", F.size("v")).filter("dims > 0")
     size = found.agg(F.count("*"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))), F.max("dims")).first()
@@ -113,7 +115,7 @@ def search(
         import pyarrow as pa
 
         for batch in batches:
-            for dims, asked, rows in zip(batch["dims"].to_pylist(), batch["asked"], batch["rows"]):
+            for dims, part, asked, rows in zip(batch["dims"].to_pylist(), batch["part"].to_pylist(), batch["asked"], batch["rows"]):
                 sides = []
                 for side in (asked, rows):
                     s = side.values
@@ -123,6 +125,8 @@ def search(
                 floor = np.full(len(q), _LEAST)
                 if "floor" in [f.name for f in a.type]:
                     floor = a.field("floor").to_numpy()
+                    new = np.nonzero(a.field("home").to_numpy() != part)[0]  # each has been in its home
+                    own, ids, q, floor = own[new], ids[new], q[new], floor[new]
                 blocks = Blocks(nth, names, m, block)
                 best = blocks.best(q, own, floor, k)
                 out = [(o, i, int(blocks.ids[n]), s) for o, i, b in zip(own.tolist(), ids.tolist(), best) for s, n in b]
@@ -131,20 +135,21 @@ def search(
 
     scored = "nth long, query_id long, vec_id long, score long"
     home = asked.groupBy("dims", "part").agg(F.collect_list(row).alias("asked")).join(segments, ["dims", "part"])
-    home = cut(home.select("dims", "asked", "rows").mapInArrow(score, scored), "home")
+    home = cut(home.select("dims", "part", "asked", "rows").mapInArrow(score, scored), "home")
     floors = home.groupBy("nth").agg(F.count("*").alias("n"), F.min("score").alias("low")).filter(F.col("n") >= k)
+    count = asked.count()
+    groups = -(-count // queries) or 1
     away = asked.join(floors, "nth", "left").withColumn("floor", F.coalesce("low", F.lit(int(_LEAST))))
-    groups = -(-asked.count() // queries) or 1
-    away = away.groupBy("dims", F.col("part").alias("home"), F.pmod(F.xxhash64("nth"), F.lit(groups)).alias("group"))
-    away = away.agg(F.collect_list(F.struct("nth", "id", "v", "floor")).alias("asked"))
-    # Queries of one home stay together, so that a group leaves them out as a whole where they have been.
-    merged = away.groupBy("dims", "group").agg(F.collect_list(F.struct("home", "asked")).alias("homes"))
-    others = segments.select("dims", "part", "rows", F.explode(F.expr(f"sequence(0L, {groups - 1}L)")).alias("group"))
-    last = found.agg(F.max("part")).first()[0] or 0
-    # Both sides are laid out by (group, segment), so that every unit of work hashes on its own.
-    left = merged.select("dims", "group", "homes", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("part"))
-    left = left.withColumn("asked", F.flatten(F.transform(F.filter("homes", lambda h: h["home"] != F.col("part")), lambda h: h["asked"])))
-    units = left.filter(F.size("asked") > 0).select("dims", "part", "group", "asked").join(others, ["dims", "part", "group"])
-    near = units.select("dims", "asked", "rows").mapInArrow(score, scored).unionByName(home)
+    away = away.select("dims", "nth", "id", "v", "floor", F.col("part").alias("home"), F.pmod(F.xxhash64("nth"), F.lit(groups)).alias("group"))
+    away = cut(away, "asked")
+    # about so many groups have ``wave`` bytes; a table of one group more or less changes nothing but the size
+    at_once = max(1, min(groups, wave // max(1, 8 * (size[2] or 1) * queries)))
+    path = new_path(vectors.sparkSession, "near")
+    for first in range(0, groups, at_once):
+        some = away.filter((F.col("group") >= first) & (F.col("group") < first + at_once))
+        some = some.groupBy("dims", "group").agg(F.collect_list(F.struct("nth", "id", "v", "floor", "home")).alias("asked"))
+        units = segments.join(F.broadcast(some), "dims").select("dims", "part", "asked", "rows")
+        in_batches(units, 16 << 20).mapInArrow(score, scored).write.parquet(f"{path}/wave={first}")
+    near = vectors.sparkSession.read.schema(scored).parquet(f"{path}/wave=*").unionByName(home)
     rank = F.expr("row_number() over (partition by nth order by score desc, vec_id)")
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

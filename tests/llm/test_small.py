@@ -120,7 +120,7 @@ def brute_topk(rows, k=5, every=50):
     return out
 
 
-@pytest.mark.parametrize("sizes", [{}, {"segment": 40, "queries": 2, "block": 7}])
+@pytest.mark.parametrize("sizes", [{}, {"segment": 40, "queries": 2, "block": 7}, {"segment": 60, "queries": 1, "wave": 200}])
 def test_topk(spark, sizes):
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(300)]
