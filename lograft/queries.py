@@ -15,6 +15,7 @@ from lograft.operators import drift as D
 from lograft.operators import faults as E
 from lograft.operators import normalize as N
 from lograft.plans import layout as L
+from lograft.sources import kept as K
 from lograft.sources import lines as S
 from lograft.sources import ordered as O
 from lograft.sources.scratch import new_path
@@ -377,6 +378,15 @@ def json_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _variants(spark, sf_dir).select("line_no", *(R.json_kind(R.json_pointer("v", p)).alias(n) for n, p in at.items()))
 
 
+@_query("SELECT line_no, ts, user_id, code FROM r")
+def kept_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three fields of records that were parsed once and kept; no other field is read."""
+    path = new_path(spark, "kept")
+    K.keep_records(W.wire(spark, sf_dir), path)
+    at = {"ts": ("timestamp",), "user_id": ("data.user_id", "bigint"), "code": ("data.error_code",)}
+    return K.kept_records(spark, path).select("line_no", *(K.kept_field(*p).alias(n) for n, p in at.items()))
+
+
 # -- tests ---------------------------------------------------------------------------------------
 
 
