@@ -51,6 +51,11 @@ CUES = {
 }
 #: Ends of host names that most addresses have.
 ENDS = ("com", "org", "net", "edu", "gov", "io", "info", "de", "fr", "es", "uk", "it", "nl", "eu", "co")
+#: How keys of widely used services begin (fixed values).
+HEADS = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "hf_", "pypi-", "npm_", "sk-", "sk_live_", "pk_live_", "xoxb-", "xoxp-", "eyJ")
+#: An address told in words, and what says that a password or key follows, digits or not.
+_SAID = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20at\x20[A-Za-z0-9-]++(?:\x20dot\x20[A-Za-z0-9-]++)++", re.I)
+_TOLD = re.compile(r"(?:token|secret|passw[a-z]{0,6}|pwd|key|auth|bearer|credentials?)[\"']?\x20?(?:[:=]|is)?\x20?[\"']?\Z", re.I)
 _GOES_ON, _CAME_ON = re.compile(r"[.\-/\x20]?[0-9]"), re.compile(r"[0-9][.\-/\x20]?\Z")
 _NEAR = 32
 
@@ -146,10 +151,13 @@ def candidates(text: str) -> list[Span]:
             # An address has at most 320 characters; it may end after any part of its host.
             ends = [x.start() + m.end() for x in _LABEL_END.finditer(right[0][:320])]
             out += [("email", a, b) for b in (ends[1:] or [right.end()]) if b - a <= 320]
+    if " dot " in text.lower():
+        out += [("email", *m.span()) for m in _SAID.finditer(text) if m.end() - m.start() <= 320]
     for m in _KEY.finditer(text):
         s = m[0].rstrip(".=") if "=" in m[0] or m[0][-1] == "." else m[0]
         at = s.find("=") + 1 if 0 <= s.find("=") < len(s) - 8 else 0
-        if len(s) - at >= 8 and any(c.isdigit() for c in s[at:]) and any(c.isalpha() for c in s[at:]):
+        own = s[at:] if at else s
+        if len(own) >= 8 and any(c.isalpha() for c in own) and (any(c.isdigit() for c in own) or _TOLD.search(text, max(0, m.start() + at - 24), m.start() + at)):
             out.append(("secret", m.start() + at, m.start() + len(s)))
     return out
 
@@ -158,27 +166,27 @@ def features(text: str, span: Span) -> list[float]:
     """Format of a candidate, and what stands around it."""
     kind, a, b = span
     s = text[a:b]
-    long = s[:256]
-    d = _digits(long)
-    groups, seps = [len(x) for x in re.findall(r"[0-9]+", long)], re.findall(r"[^0-9]+", long)
+    d = _digits(s)
+    groups, seps = [len(x) for x in re.findall(r"[0-9]+", s)], re.findall(r"[^0-9]+", s)
     before, after = text[max(0, a - _NEAR) : a], text[b : b + _NEAR]
     near, left = before + after, before.lower()
     said = left.rstrip(" \"'`")
-    dots = [x.strip() for x in re.split(r"\.|[\[(]dot[\])]", s.rpartition("@")[2] if "@" in s else s, flags=re.I)] if kind in ("email", "ip") else []
-    counts = Counter(long)
-    bits = -sum(n / len(long) * math.log2(n / len(long)) for n in counts.values())
-    sort = [any(c.islower() for c in long), any(c.isupper() for c in long), any(c.isdigit() for c in long)]
+    host = re.split(r"@|[\[(]\x20?at\x20?[\])]|\x20at\x20", s, flags=re.I)[-1]
+    dots = [x.strip() for x in re.split(r"\.|[\[(]dot[\])]|\x20dot\x20", host, flags=re.I)] if kind in ("email", "ip") else []
+    counts = Counter(s)
+    bits = -sum(n / len(s) * math.log2(n / len(s)) for n in counts.values())
+    sort = [any(c.islower() for c in s), any(c.isupper() for c in s), any(c.isdigit() for c in s)]
     return [
         *(kind == k for k in KINDS), len(s), len(d), len(groups), max(groups, default=0), min(groups, default=0), len(set(groups)),
         len(set(seps)), max(map(len, seps), default=0), s.count("."), s.count("-"), s.count("("), s.count(" "), s.count("/"), s.startswith("+"),
-        _luhn(d) if 12 <= len(d) <= 19 else -1, max((int(x[-9:] or 0) for x in re.findall(r"[0-9]+", long)), default=-1) if kind == "ip" else -1,
+        _luhn(d) if 12 <= len(d) <= 19 else -1, max((int(x[-9:] or 0) for x in re.findall(r"[0-9]+", s)), default=-1) if kind == "ip" else -1,
         len(dots) if kind == "email" else -1, len(dots[-1]) if kind == "email" else -1, dots[-1].isalpha() if kind == "email" else -1,
         bool(before) and before[-1].isalnum(), bool(after) and after[0].isalnum(), bool(before) and before[-1] in "#$%=/._-", bool(after) and after[0] in "#$%=/_-@",
         bool(before) and before[-1] in "\"'`" and bool(after) and after[0] == before[-1], said[-1:] in ("=", ":") and bool(said),
         bool(_GOES_ON.match(after)), bool(_CAME_ON.search(before[-2:])), dots[-1].lower() in ENDS if kind == "email" else -1, kind == "email" and len(set(re.findall(r"\x20?(?:\.|[\[(]dot[\])])\x20?", s.rpartition("@")[2] if "@" in s else s))),
-        bits, sum(sort), sum(c in "0123456789abcdef" for c in long) / len(long), sum(c.isalpha() for c in long) / len(long),
+        bits, sum(sort), sum(c in "0123456789abcdef" for c in s) / len(s), sum(c.isalpha() for c in s) / len(s),
         sum(c.isalpha() for c in near) / max(1, len(near)), sum(c.isdigit() for c in near) / max(1, len(near)),
-        *(any(c in left for c in CUES[k]) for k in CUES),
+        s.startswith(HEADS), *(any(c in left for c in CUES[k]) for k in CUES),
     ]
 
 
@@ -192,7 +200,7 @@ def _value(kind: str, rng: random.Random) -> list[tuple[str, str, int]]:
         at, dot = rng.choice(["@", " @ ", "(at)", "[at]", " [at] ", " (at) "]), rng.choice([".", ".", " . ", "[dot]", " (dot) "])
         local, host, end = word() + rng.choice(["", ".", "_", n(2)]) + word(), word(), rng.choice(["com", "org", "de", "co", "net", "io"])
         return [
-            (cue(), f"{local}{at}{host}{dot}{end}", 1), (cue(), f"{local}{n(2)}{at}{host}{dot}{word()}{dot}{end}", 1), ("", f"{word()}@{n(3)}", 0), ("", f"{word()} @ {word()}", 0),
+            (cue(), f"{local}{at}{host}{dot}{end}", 1), (cue(), f"{local} at {host} dot {end}", 1), ("", f"{word()} at {word()} dot {word(5)}", 0), (cue(), f"{local}{n(2)}{at}{host}{dot}{word()}{dot}{end}", 1), ("", f"{word()}@{n(3)}", 0), ("", f"{word()} @ {word()}", 0),
             ("", f"{word()}@{word()}", 0), ("", f"{word()} (at) {word()}", 0), (no(), f"{word()}@{n(1)}.{n(2)}.{n(1)}", 0),
         ]
     if kind == "ip":
@@ -214,7 +222,7 @@ def _value(kind: str, rng: random.Random) -> list[tuple[str, str, int]]:
         ]
     if kind == "phone":
         area, a, b = n(3), n(3), n(4)
-        good = rng.choice([f"({area}) {a}-{b}", f"{area}-{a}-{b}", f"{area}.{a}.{b}", f"+{n(2)} {n(2)} {n(4)} {n(4)}", f"00{n(2)} {area} {a}{b}", f"+{n(1)}-{area}-{a}-{b}", f"{area} {a} {b}"])
+        good = rng.choice([f"({area}) {a}-{b}", f"({area}) {a} {b}", f"{area}-{a}-{b}", f"{area}.{a}.{b}", f"+{n(2)} {n(2)} {n(4)} {n(4)}", f"00{n(2)} {area} {a}{b}", f"+{n(1)}-{area}-{a}-{b}", f"{area} {a} {b}", f"{area}-{b}-{n(4)}", f"00{n(2)} {n(2)} {n(6)}", f"0{n(2)} {n(3)} {n(4)}"])
         return [
             (cue(), good, 1), (rng.choice(CUES[kind]) + rng.choice([": ", " "]), f"{area}{a}{b}", 1), (no(), f"{area}{a}{b}", 0), ("", n(rng.randint(7, 15)), 0),
             ("", f"20{n(2)}-0{rng.randint(1, 9)}-{rng.randint(10, 28)}", 0), ("", f"{n(2)}.{n(2)}.20{n(2)} {n(2)}", 0), ("", f"{n(4)} {n(4)} {n(4)}", 0), ("", f"{n(3)}.{n(4)}", 0), ("$", f"{n(2)} {n(3)} {n(3)}", 0),
@@ -223,7 +231,12 @@ def _value(kind: str, rng: random.Random) -> list[tuple[str, str, int]]:
     chars = rng.choice(["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"])
     key = lambda a=20, b=48: "a1" + "".join(rng.choices(chars, k=rng.randint(a, b)))
     quote = rng.choice(['"', "'", ""])
+    capital = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    known = rng.choice(["AKIA" + "".join(rng.choices(capital, k=16)), rng.choice(HEADS[3:]) + "".join(rng.choices(capital + capital.lower() + "0189", k=rng.randint(20, 40)))])
+    plain = "".join(word() for _ in range(rng.randint(2, 4)))
     return [
+        (rng.choice(["", "", f"{rng.choice(CUES[kind])}: "]), known, 1), (f"{rng.choice(['pwd', 'password', 'passwd', 'secret', 'passphrase', 'db_password'])}{rng.choice(['=', ': ', ' = ', ' is '])}{quote}", plain, 1),
+        (f"{rng.choice(['the key ', 'a secret ', 'key: ', 'token ', 'auth '])}", word(rng.randint(8, 14)), 0), (f"{rng.choice(['name', 'id', 'title', 'user', 'path'])}{rng.choice(['=', ': '])}{quote}", plain, 0),
         (f"{rng.choice(CUES[kind])}{rng.choice([' = ', '=', ': ', ' '])}{quote}", key(), 1), (f"{rng.choice(['api_', 'my', 'X-'])}{rng.choice(CUES[kind])}{rng.choice([' = ', '=', ': '])}{quote}", key(8, 24), 1),
         (no(), key(30, 42), 0), (f"/{word()}/", key(8, 40), 0), ("", f"{word()}{n(2)}_{word()}", 0), ("", f"{word()}-{n(4)}-{word()}", 0), ("", f"{word()}{n(3)}.{word(3)}", 0), ("", word(12) + n(1), 0),
     ]
@@ -301,14 +314,31 @@ def _examples(snippets: list[tuple[str, int, int, str]], rounds: int) -> tuple[n
     return np.array(rows, np.float64), np.array(y, np.float64), np.array(kinds, object), np.array(folds)
 
 
+def learned(snippets: list[tuple[str, int, int, str]], rounds: int = 90, precision: float = 0.99) -> Detector:
+    """Trees and thresholds from parts of texts; see ``fit``."""
+    x, y, kind, fold = _examples(snippets, rounds)
+    out = np.zeros(len(y))
+    for f in range(3):
+        out[fold == f] = boost(x[fold != f], y[fold != f]).chances(x[fold == f])
+    thresholds = {}
+    for k in KINDS:
+        p, right = out[kind == k], y[kind == k]
+        order = np.argsort(-p)
+        share = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
+        good = np.nonzero((share >= precision) & (p[order] > 0.5))[0]
+        ranked = np.append(p[order], 0.0)  # halfway to the next lower score: nothing was seen in between
+        thresholds[k] = max(0.5, float(ranked[good[-1]] + ranked[good[-1] + 1]) / 2) if len(good) else float(p.max(initial=0.5))
+    return Detector(boost(x, y), thresholds)
+
+
 def fit(docs: DataFrame, text_col: str = "text", sample: int = 2_000, rounds: int = 90, precision: float = 0.99) -> Detector:
     """Learn from what the strict patterns find in about ``sample`` texts, and from made values put into them.
 
     Texts are chosen by a hash; of each at most 7 parts of a few hundred characters come to the driver,
     at most ``4 * sample`` in all. Every kind has ``rounds`` times its made values at any size of the
     table, also of an empty one, so no kind depends on how often it stands in the sample. Each fold of
-    three is scored by trees fitted to the two others, and each kind gets the least threshold above
-    one half at which ``precision`` holds over all these scores.
+    three is scored by trees fitted to the two others, and each kind gets the least threshold from
+    one half up at which ``precision`` holds over all these scores.
     """
     draw = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
     text = in_batches(docs).select(F.col(text_col).alias("text")).filter(F.col("text").isNotNull() & (draw < sample / max(1, docs.count())))
@@ -319,18 +349,7 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = 2_000, rounds: in
 
     made = text.mapInPandas(make, "part string, a int, b int, kind string").distinct()
     got = made.orderBy(F.xxhash64("part", "a", "kind"), "part", "a", "kind").limit(4 * sample).collect()
-    x, y, kind, fold = _examples([tuple(r) for r in got], rounds)
-    out = np.zeros(len(y))
-    for f in range(3):
-        out[fold == f] = boost(x[fold != f], y[fold != f]).chances(x[fold == f])
-    thresholds = {}
-    for k in KINDS:
-        p, right = out[kind == k], y[kind == k]
-        order = np.argsort(-p)
-        share = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
-        good = np.nonzero((share >= precision) & (p[order] > 0.5))[0]
-        thresholds[k] = float(p[order][good[-1]]) if len(good) else float(p.max(initial=0.5))
-    return Detector(boost(x, y), thresholds)
+    return learned([tuple(r) for r in got], rounds, precision)
 
 
 def find(detector: Detector, text: Column | str) -> Column:
