@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 #: A quoted or plain name with its colon, the head of an object or array, the name of a type with its digits, an end.
 _PIECE = re.compile(r"(?:`((?:[^`]|``)*)`|([^\s:<>,`()]+)): |(OBJECT|ARRAY)<|([A-Z_]+(?:\(\d+,\d+\))?)|>")
 STATE = ("path", "kind")
@@ -51,6 +54,8 @@ def shapes(df: DataFrame, variant: str = "v", order: str = "line_no") -> DataFra
 
 
 def _taken_apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import pandas as pd
+
     for b in batches:
         rows = [(p, k, r.records, r.first_line, r.last_line) for r in b.itertuples() for p, k in paths_of(r.shape)]
         yield pd.DataFrame(rows, columns=[*STATE, "records", "first_line", "last_line"])

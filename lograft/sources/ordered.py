@@ -133,6 +133,7 @@ def in_order(df: DataFrame, *order: str, partitions: int | None = None) -> DataF
     """Rows dealt by ranges of ``order`` and sorted within, so that partitions in turn hold them in order.
 
     Projections and filters above keep the order: deal the raw lines, which are small, and render them after.
+    Spark finds the ranges by a sample, which reads the input once more.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if n > MOST_PARTS:
