@@ -392,29 +392,19 @@ def has_content(col: Column, kind: T.DataType, used: Used, at: Path = ()) -> Col
 
 
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
-#: Pieces of compact JSON: a text, a name with its colon, a name with its null, a bracket, any other value. Commas are left out.
-_PIECE = rf"{_STRING}(?::(?:null(?=[,}}]))?+)?+|[{{}}\[\]]|[^\s,:{{}}\[\]\"]++"
+#: A null of an array, or a name with its null.
+_NONE = rf"(?:{_STRING}:)?+null(?![^,}}\]])"
+#: Nulls behind a bracket go with the comma after them, others with the one before; texts are passed over whole.
+_NONES = rf"([{{\[])(?:{_NONE},?+)++|(?:,{_NONE})++|({_STRING})"
 
 
 def without_nulls(text: Column) -> Column:
-    """Compact JSON text without the nulls of its objects and arrays, at any depth, in one pass over its pieces.
+    """Compact JSON text without the nulls of its objects and arrays, at any depth, in one pass of one expression.
 
-    Pieces that are null, or a name with null, go; commas are put between what is left: after a value, before
-    a name or value. Nothing depends on depth, and texts that hold no such letters are passed on.
+    Nothing depends on depth, and texts that hold no such letters are passed on.
     """
-
-    def put(kept: Column) -> Column:
-        def piece(t: Column, i: Column) -> Column:
-            before = F.substring(F.get(kept, i - 1), -1, 1)
-            return F.when((i > 0) & ~before.isin("{", "[", ":") & ~t.isin("}", "]"), F.concat(F.lit(","), t)).otherwise(t)
-
-        return F.array_join(F.transform(kept, piece), "")
-
-    def clean(t: Column) -> Column:
-        held = F.filter(F.regexp_extract_all(t, F.lit(_PIECE), F.lit(0)), lambda x: (x != "null") & ~F.endswith(x, F.lit(":null")))
-        return F.when(~F.contains(t, F.lit("null")) | (t == "null"), t).otherwise(bound(held, put))
-
-    return bound(text, clean)
+    clean = lambda t: F.regexp_replace(t, _NONES, "$1$2")
+    return bound(text, lambda t: F.when(~F.contains(t, F.lit("null")) | (t == "null"), t).otherwise(clean(t)))
 
 
 def pruned(col: Column, kind: T.DataType) -> Column:

@@ -484,7 +484,7 @@ def nulls_at_any_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     core = F.to_json(F.struct(F.expr("cast(get_json_object(props, '$.k') as bigint)").alias("k"), F.lit(None).cast("string").alias("n"), F.lit('x":null,[null]:null').alias("s"), F.col("user_id").alias("u")), {"ignoreNullFields": "false"})
     deep = (F.col("event_id") % 300).cast("int")
     text = F.concat(F.repeat(F.lit('{"a":[null,{"n":null,"b":'), deep), F.regexp_replace(core, "}$", ',"z":[null,{"y":null},null]}'), F.repeat(F.lit('},null],"c":null}'), deep))
-    lines = C.computed_once(W.written(spark, sf_dir).select("event_id", "user_id", "props"), text=text)
+    lines = C.computed_once(W.written(spark, sf_dir, spread=True).select("event_id", "user_id", "props"), text=text)
     return lines.select(F.col("event_id").alias("line_no"), R.to_compact_json(F.parse_json("text"), T.VariantType()).alias("text"))
 
 

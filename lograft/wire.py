@@ -46,15 +46,22 @@ def _record() -> list[Column]:
     ]
 
 
-def written(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All columns of every event, and ``js``, the record as it is written, before any dirt."""
+def written(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """All columns of every event, and ``js``, the record as it is written, before any dirt.
+
+    With ``spread`` events are dealt to all cores first: a file of few row groups is read by few tasks,
+    too few where an event of some bytes becomes kilobytes of text or much work.
+    """
     e, record = spark.read.parquet(f"{sf_dir}/events.parquet"), _record()
+    if spread:
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+        e = e.repartition(tasks, "event_id", "ts")
     nulls = F.col("event_id") % 7 == 0
     return computed_once(e, js=F.when(nulls, lines_from_table(*record, nulls=True)).otherwise(lines_from_table(*record)))
 
 
-def wire(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``line_no, source, line``."""
+def wire(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """``line_no, source, line``; ``spread`` as for ``written``."""
     i = F.col("event_id")
     line = (
         F.when(i % 101 == 100, " \t ")
@@ -65,7 +72,7 @@ def wire(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(i % 5 == 0, F.concat(F.lit("\x1b[31m"), F.col("js"), F.lit("\x1b[0m")))
         .otherwise(F.col("js"))
     )
-    lines = computed_once(written(spark, sf_dir).select("event_id", "js"), line=line)
+    lines = computed_once(written(spark, sf_dir, spread).select("event_id", "js"), line=line)
     return lines.select(i.alias("line_no"), F.lit("events").alias("source"), "line")
 
 

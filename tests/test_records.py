@@ -148,3 +148,16 @@ def test_order_of_files(spark, tmp_path):
 def test_empty_table(spark):
     seen = C.classify_lines(_lines(spark).limit(0))
     assert C.strict_prefix(seen, ["line_no"]).count() == 0 and C.parse_quality_report(seen, "line_no").count() == 0
+
+
+def test_nulls_go_without_a_step_a_piece(spark):
+    """Nulls are cut out of printed JSON by one expression, whatever stands in texts beside them; events with few row groups are dealt to more tasks."""
+    from lograft import queries as Q
+
+    texts = ['[null]', '[null,null,1,null]', '{"null":null,"a":"null","b":[",null",null]}', '{"a":null,"b":{"c":null}}', '["\\":null,",null,"x"]', '[[null],{},null]', '"null"', "null"]
+    want = ['[]', '[1]', '{"a":"null","b":[",null"]}', '{"b":{}}', '["\\":null,","x"]', '[[],{}]', '"null"', "null"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string")
+    assert [r["t"] for r in df.select("i", R.without_nulls(F.col("t")).alias("t")).orderBy("i").collect()] == want
+    plan = df.select(R.without_nulls(F.col("t")))._jdf.queryExecution().toString()
+    assert "regexp_extract_all" not in plan and "filter(" not in plan
+    assert Q.nulls_at_any_depth(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > spark.read.parquet("/root/testdata/sf0.001/events.parquet").rdd.getNumPartitions()
