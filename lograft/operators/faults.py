@@ -25,9 +25,31 @@ OTHER = "a repeated name, or a number or depth beyond limits"
 
 _SOUND = r'"(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4}))*+"'
 _CLOSED = r'"(?:[^"\\]++|\\(?s:.))*+"'
-#: Pieces of a line: a sound text, one that is closed, one that is not, a sign, blanks, anything else.
-_PIECE = rf'{_SOUND}|{_CLOSED}|(?s:".*)|[{{}}\[\]:,]|[ \t\r\n]++|[^\s"{{}}\[\]:,]++|\s'
-_PLAIN = r"^(?:-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)$"
+_NUMBER = r"-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?+[0-9]++)?+"
+_PLAIN = rf"^(?:{_NUMBER}|true|false|null)$"
+
+
+def _value(depth: int) -> str:
+    """A sound value of at most ``depth`` levels, before a comma or the end of what holds it."""
+    plain = rf"{_SOUND}|{_NUMBER}|true|false|null"
+    if not depth:
+        return f"(?:{plain})"
+    inner = _value(depth - 1)
+    return rf"(?:{plain}|{_boxed(inner)})"
+
+
+def _boxed(inner: str) -> str:
+    """An object or an array of values ``inner``, with nothing wrong in it."""
+    members = rf'\{{\s*+(?:{_SOUND}\s*+:\s*+{inner}\s*+(?:,\s*+(?=")|(?=\}})))*+\}}'
+    return members + rf"|\[\s*+(?:{inner}\s*+(?:,\s*+(?!\])|(?=\])))*+\]"
+
+
+#: Sound members of an object, each with the comma behind it.
+_MEMBERS = rf"(?:{_SOUND}\s*+:\s*+{_value(3)}\s*+,\s*+)++"
+_NAME = rf"^{_SOUND}\s*+"
+#: Pieces of a line: whole sound objects and arrays, sound members, a sound text, one that is closed, one that is not, a
+#: sign, blanks, anything else. So a line has few pieces but where it is broken or deep.
+_PIECE = rf'{_boxed(_value(2))}|{_MEMBERS}|{_SOUND}|{_CLOSED}|(?s:".*)|[{{}}\[\]:,]|[ \t\r\n]++|[^\s"{{}}\[\]:,]++|\s'
 
 
 def _step(s: Column, piece: Column) -> Column:
@@ -36,30 +58,34 @@ def _step(s: Column, piece: Column) -> Column:
     want, top = s["want"], F.substring(s["open"], -1, 1)
     head = F.substring(piece, 1, 1)
     is_text = head == '"'
-    said = F.when(is_text, F.when(piece.rlike(rf"^{_SOUND}$"), F.lit(None)).when(piece.rlike(rf"^{_CLOSED}$"), ODD_TEXT).otherwise(OPEN_TEXT))
+    members = is_text & (F.substring(piece, -1, 1) != '"') & piece.rlike(rf"{_NAME}:")
+    boxed = head.isin("{", "[") & (F.length(piece) > 1)
+    said = F.when(members | piece.rlike(rf"^{_SOUND}$"), F.lit(None)).when(piece.rlike(rf"^{_CLOSED}$"), ODD_TEXT).otherwise(OPEN_TEXT)
     wants_value, wants_name = want.isin("v", "a"), want.isin("k", "n")
     closes = (head == "}") & ((want == "k") | (want == "s") & (top == "{")) | (head == "]") & ((want == "a") | (want == "s") & (top == "["))
     opens = wants_value & head.isin("{", "[")
-    value = F.when(is_text, said).when(head == "]", EARLY_BRACKET).when(head == "}", EARLY_BRACE).when(head.isin(",", ":"), NO_VALUE).when(~piece.rlike(_PLAIN), NOT_A_VALUE)
+    no_comma = F.when(top == "{", NO_COMMA_OBJECT).otherwise(NO_COMMA_ARRAY)
+    value = F.when(members, no_comma).when(is_text, said).when(head == "]", EARLY_BRACKET).when(head == "}", EARLY_BRACE).when(head.isin(",", ":"), NO_VALUE).when(~piece.rlike(_PLAIN), NOT_A_VALUE)
     fault = (
         F.when(closes | opens, F.lit(None))
         .when(wants_value, value)
         .when(wants_name, F.when(is_text, said).when(head == "}", EARLY_BRACE).otherwise(NO_NAME))
         .when(want == "c", F.when(head != ":", NO_COLON))
-        .otherwise(F.when(head != ",", F.when(top == "{", NO_COMMA_OBJECT).otherwise(NO_COMMA_ARRAY)))
+        .otherwise(F.when(head != ",", no_comma))
     )
-    left = F.when(closes, F.substring(s["open"], F.lit(1), F.length(s["open"]) - 1)).when(opens, F.concat(s["open"], head)).otherwise(s["open"])
+    # The name of members where a value is wanted is that value, and the colon behind it is the fault.
+    place = s["at"] + F.when(wants_value & members, F.length(F.regexp_extract(piece, _NAME, 0))).otherwise(0)
+    left = F.when(closes, F.substring(s["open"], F.lit(1), F.length(s["open"]) - 1)).when(opens & ~boxed, F.concat(s["open"], head)).otherwise(s["open"])
     after = (
         F.when(closes, F.when(F.length(s["open"]) == 1, "e").otherwise("s"))
+        .when(opens & boxed, F.when(s["open"] == "", "e").otherwise("s"))
         .when(opens, F.when(head == "{", "k").otherwise("a"))
-        .when(wants_value, "s").when(wants_name, "c").when(want == "c", "v").otherwise(F.when(top == "{", "n").otherwise("v"))
-    )
-    over = piece.rlike(r"^\s") | (want == "e") | s["fault"].isNotNull()
-    keep = lambda new, old: F.when(over, old).otherwise(new)
-    return F.struct(
-        (s["at"] + F.length(piece)).alias("at"), keep(after, want).alias("want"), keep(left, s["open"]).alias("open"),
-        keep(fault, s["fault"]).alias("fault"), F.when(s["fault"].isNull() & ~over & fault.isNotNull(), s["at"]).otherwise(s["place"]).alias("place"),
+        .when(wants_value, "s").when(wants_name, F.when(members, "n").otherwise("c")).when(want == "c", "v").otherwise(F.when(top == "{", "n").otherwise("v"))
     )
+    over = s["fault"].isNotNull() | (want == "e") | piece.rlike(r"^\s")
+    at = (s["at"] + F.length(piece)).alias("at")
+    passed = F.struct(at, *(s[n].alias(n) for n in ("want", "open", "fault", "place")))
+    return F.when(over, passed).otherwise(F.struct(at, after.alias("want"), left.alias("open"), fault.alias("fault"), place.alias("place")))
 
 
 def fault_of(clean: Column | str) -> Column:

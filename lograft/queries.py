@@ -42,14 +42,14 @@ def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.classify_lines(W.wire(spark, sf_dir))
 
 
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _records(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """``line_no, r`` of the records: the struct is read from the variant that the test for a record has parsed."""
-    return _variants(spark, sf_dir).select("line_no", R.struct_of("v", W.SCHEMA).alias("r"))
+    return _variants(spark, sf_dir, spread).select("line_no", R.struct_of("v", W.SCHEMA).alias("r"))
 
 
-def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _variants(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """``line_no, v`` of the records: the variant that the test for a record has parsed."""
-    return C.classify_lines(W.wire(spark, sf_dir), parsed="v").filter("status = 'record'").select("line_no", "v")
+    return C.classify_lines(W.wire(spark, sf_dir, spread), parsed="v").filter("status = 'record'").select("line_no", "v")
 
 
 def _texts(name: str, sql: str, pieces: list, layouts: dict | None = None, **how: bool) -> None:
@@ -246,7 +246,7 @@ def _case(values: list[str]) -> str:
 def explain_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record, damaged in one of fourteen ways or not at all, with the place and the reason of its fault."""
     js = R.to_compact_json("r", W.SCHEMA)
-    lines = C.computed_once(_records(spark, sf_dir).select("line_no", js.alias("js")), line=F.expr(_case([d for d, _, _ in _SHAPES])))
+    lines = C.computed_once(_records(spark, sf_dir, spread=True).select("line_no", js.alias("js")), line=F.expr(_case([d for d, _, _ in _SHAPES])))
     return E.explain_bad(C.classify_lines(lines)).select("line_no", "error_at", "error_reason")
 
 

@@ -148,3 +148,14 @@ def test_report_of_batches_is_the_batch_report(spark, tmp_path):
     streams.route(S.stream_log_lines(spark, f"{tmp_path}/in", 2), *(f"{tmp_path}/{n}" for n in ("good", "bad", "cp")), report=f"{tmp_path}/report").awaitTermination()
     told = spark.read.parquet(f"{tmp_path}/report")
     assert told.count() == 3 and tuple(told.agg(*(F.sum(n) for n in (*C.STATUSES, "lines"))).first()) == (14, 7, 7, 7, 7, 42)
+
+
+def test_few_pieces_a_line(spark):
+    """What is sound is passed over whole: the fold takes a few steps, wherever the fault is."""
+    one = '"k":[1,{"x":"y","z":[]}],"t" : "u" , '
+    lines = [("{" + one * 200 + "}", 1 + 200 * len(one)), ("{" + one * 100 + "1}", 1 + 100 * len(one)), ('{"a":"b":1,' + one + "}", 8), ('["b" :1,' + one + "]", 5), ('{"a":{"b":1} "c":1,"d":2}', 13), ('{"a":[1] [2]}', 9), ('{"a" {}}', 5), ("[{}{}]", 3)]
+    df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(lines)], "i int, t string")
+    got = df.select("i", E.fault_of("t").alias("f"), F.size(F.regexp_extract_all("t", F.lit(E._PIECE), F.lit(0))).alias("n")).orderBy("i").collect()
+    assert [r["f"]["at"] for r in got] == [at for _, at in lines]
+    assert [r["f"]["reason"] for r in got] == [E.EARLY_BRACE, E.NO_NAME, E.NO_COMMA_OBJECT, E.NO_COMMA_ARRAY, E.NO_COMMA_OBJECT, E.NO_COMMA_OBJECT, E.NO_COLON, E.NO_COMMA_ARRAY]
+    assert max(r["n"] for r in got) < 12
