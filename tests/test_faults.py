@@ -159,3 +159,15 @@ def test_few_pieces_a_line(spark):
     assert [r["f"]["at"] for r in got] == [at for _, at in lines]
     assert [r["f"]["reason"] for r in got] == [E.EARLY_BRACE, E.NO_NAME, E.NO_COMMA_OBJECT, E.NO_COMMA_ARRAY, E.NO_COMMA_OBJECT, E.NO_COMMA_OBJECT, E.NO_COLON, E.NO_COMMA_ARRAY]
     assert max(r["n"] for r in got) < 12
+
+
+def test_strict_reading_gives_every_record(spark):
+    """A row for each record of the table, and the first bad line told."""
+    from lograft import queries as Q
+
+    seen = Q.classify_lines(spark, "/root/testdata/sf0.001")
+    out = Q.strict_fail(spark, "/root/testdata/sf0.001")
+    first = seen.filter(F.col("status").isin(*C.BAD)).orderBy("line_no").first()["status"]
+    assert out.select("line_no").exceptAll(seen.filter("status = 'record'").select("line_no")).isEmpty()
+    assert out.count() == seen.filter("status = 'record'").count()
+    assert {(r["failed"], r["said"]) for r in out.collect()} == {(True, first)}
