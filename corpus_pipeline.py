@@ -18,6 +18,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: clean documents reach rate 1, low ones are thinned, toxic ones fall to 0.
 MIX = {"high": 0.95, "low": 0.05, "toxic": 0.0}
 
+#: Bits in which fingerprints of candidates for near duplicates differ at most, as in ``op2_simhash``.
+RADIUS = 3
+
 
 def _key() -> Column:
     return F.struct(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
@@ -69,12 +72,13 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates one row stays: that with the least doc_id (nulls first), then text hash.
 
-    Near are texts whose sets of 5-word shingles have a likeness of 0.8 or more, compared exactly. Null
-    and empty texts are alike; rows that repeat with their id keep one. Columns beyond those of
-    documents are left out, an empty table gives an empty one.
+    Candidates have fingerprints (those of ``op2_simhash``) that differ in at most ``RADIUS`` bits; min-hashes
+    add those whose fingerprints lie further apart. Near are candidates whose sets of 5-word shingles have a
+    likeness of 0.8 or more, compared exactly. Null and empty texts are alike; rows that repeat with their id
+    keep one. Columns beyond those of documents are left out, an empty table gives an empty one.
     """
     keyed = docs.select(_key().alias("key"), "text")
-    groups = cut(copies.near_copies(keyed, "key"), "groups")
+    groups = cut(copies.near_copies(keyed, "key", radius=RADIUS), "groups")
     kept = _without(docs, _keys(groups.filter(F.col("key") != F.col("component_id")), "key"))
     again = _keys(groups.groupBy("key").count().filter("count > 1"), "key")
     clear, maybe = _split(kept, again)

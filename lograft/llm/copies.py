@@ -1,7 +1,8 @@
-"""Near copies by the exact likeness of shingle sets.
+"""Near copies by SimHash fingerprints, with an exact check.
 
-Texts are alike if their sets of word shingles share at least ``share`` of their union. Candidates
-come from min-hashes in bands; whatever a band ties together is then compared exactly, set by set.
+Texts are alike if their sets of word shingles share at least ``share`` of their union. Candidates are
+texts whose fingerprints (``simhash``) differ in few bits; those whose fingerprints lie further apart
+come from min-hashes in bands. Whatever these tie together is then compared exactly, set by set.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lograft.llm import simhash
 from lograft.llm.common import cut, in_batches, join_hot, screened
 from lograft.llm.components import components
 from lograft.llm.simhash import _shingle_hashes
@@ -38,15 +40,15 @@ def _bands(own: np.ndarray) -> list[int]:
 
 
 def sketch(text: Column | str, shingle: int) -> Column:
-    """``node``, a hash of the shingle set, and ``bands``, those of its min-hashes (none for an empty set)."""
+    """``node``, a hash of the shingle set, ``bands``, those of its min-hashes (none for an empty set), and the fingerprint ``fp``."""
 
-    @F.pandas_udf("struct<node:long,bands:array<long>>")
+    @F.pandas_udf("struct<node:long,bands:array<long>,fp:long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             sets = [_set(t, shingle) for t in texts]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             bands = [np.array(_bands(s) if len(s) else [], np.uint64).view(np.int64) for s in sets]
-            yield pd.DataFrame({"node": node, "bands": bands})
+            yield pd.DataFrame({"node": node, "bands": bands, "fp": simhash.prints(texts)})
 
     return run(text)
 
@@ -97,6 +99,7 @@ def _compared(groups: DataFrame, keys: list[str], shingle: int, share: float) ->
     """
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node", ignore_index=True)  # the first of its likes is the least: links are stars already
         node, label = pdf["node"].to_numpy(), alike([_set(t, shingle) for t in pdf["text"]], share)
         goes_on = (label == np.arange(len(node))) & (pdf["parts"].to_numpy() > 1)
         return pd.DataFrame(
@@ -182,8 +185,21 @@ def _apart(full: DataFrame, found: DataFrame, shingle: int, share: float, tile:
     return _compared(rows, ["root", "lo", "hi"], shingle, share).filter("a <> b").select("a", "b")
 
 
+def _near_prints(nodes: DataFrame, radius: int) -> DataFrame:
+    """Links ``a, b`` that join all nodes whose fingerprints differ in at most ``radius`` bits.
+
+    A fingerprint that ties nodes takes part under a hash of its own, so nodes meet it, not each other.
+    """
+    mark = lambda fp: F.xxhash64(F.col(fp), F.lit(5))
+    prints = cut(nodes.groupBy("fp").agg(F.count("*").alias("n")), "prints")
+    near = cut(simhash.links(prints.select("fp"), "fp", radius).distinct(), "near")
+    tied = near.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(prints.filter("n > 1").select("fp")).distinct()
+    met = join_hot(nodes.select("node", "fp"), cut(prints.join(tied.hint("merge"), "fp"), "tied"), "fp")
+    return met.select(F.col("node").alias("a"), mark("fp").alias("b")).unionByName(near.select(mark("a").alias("a"), mark("b").alias("b")))
+
+
 def near_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, share: float = 0.8, tile: int = 1 << 23, part: int = 1 << 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, share: float = 0.8, tile: int = 1 << 23, part: int = 1 << 20, radius: int = 3
 ) -> DataFrame:
     """``id_col, component_id`` for every row of ``docs``.
 
@@ -192,8 +208,8 @@ def near_copies(
     A text of fewer words than a shingle is one shingle; texts without words (or null) are alike. Rows
     that repeat keep one row each, other columns are ignored, an empty table gives an empty one.
 
-    Equal sets meet once, as one node. Nodes that share a band, directly or by others, have one root and
-    are compared exactly. From roots of several parts the nodes go first that have too many shingles of
+    Equal sets meet once, as one node. Nodes whose fingerprints differ in at most ``radius`` bits or that
+    share a band, directly or by others, have one root and are compared exactly. From roots of several parts the nodes go first that have too many shingles of
     their own for any link. The others meet in parts of about ``part`` characters, then the first nodes of
     the parts, and what is apart then in tiles of about ``tile`` characters, each with each. The result
     is the same for all sizes.
@@ -201,13 +217,14 @@ def near_copies(
     keyed = in_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     hashed = keyed.select("id", "text", F.xxhash64("id").alias("d"), F.xxhash64("text").alias("g"))
     marked = hashed.select("id", "d", "g", F.length("text").alias("n"), sketch("text", shingle).alias("s"))
-    marked = cut(marked.select("id", "d", "g", "n", "s.node", "s.bands"), "sketches")
+    marked = cut(marked.select("id", "d", "g", "n", "s.node", "s.bands", "s.fp"), "sketches")
     one = F.min(F.struct("d", "g", "n", "bands"))
     nodes = cut(marked.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("n"), one.alias("one")), "nodes")
     bands = nodes.select("node", F.explode("one.bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("low")).filter("n > 1")
-    tied = join_hot(bands, cut(shared, "bands"), "band").filter("node <> low")
-    roots = components(tied, "node", "low")
+    tied = join_hot(bands, cut(shared, "bands"), "band").filter("node <> low").select("node", "low")
+    near = _near_prints(cut(marked.select("node", "fp").distinct(), "fingerprints"), radius)
+    roots = components(tied.unionByName(near.toDF("node", "low")), "node", "low")
     inner = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     size = F.col("one.n").alias("size")
     inner = cut(nodes.select("node", "one.d", "one.g", size).join(inner.hint("merge"), "node"), "candidates")

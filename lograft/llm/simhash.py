@@ -51,22 +51,27 @@ def _majority(hashes: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def prints(texts: pd.Series, shingle: int = 3) -> np.ndarray:
+    """The fingerprints of whole texts as longs."""
+    done, held, size = [], [], 0
+    for t in texts:
+        held.append(_shingle_hashes(t, shingle))
+        size += len(held[-1])
+        if size >= _CHUNK or len(held) >= 256:
+            done.append(_majority(held))
+            held, size = [], 0
+    if held:
+        done.append(_majority(held))
+    return np.concatenate(done or [np.empty(0, np.uint64)]).view(np.int64)
+
+
 def fingerprint(text: Column | str, shingle: int = 3) -> Column:
     """The 64-bit fingerprint of each whole text as a long; a text without words (or null) gets 0."""
 
     @F.pandas_udf("long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            done, held, size = [], [], 0
-            for t in texts:
-                held.append(_shingle_hashes(t, shingle))
-                size += len(held[-1])
-                if size >= _CHUNK or len(held) >= 256:
-                    done.append(_majority(held))
-                    held, size = [], 0
-            if held:
-                done.append(_majority(held))
-            yield pd.Series(np.concatenate(done or [np.empty(0, np.uint64)]).view(np.int64))
+            yield pd.Series(prints(texts, shingle))
 
     return run(text)
 

@@ -3,7 +3,8 @@
 import random
 
 import corpus_pipeline as P
-from lograft.llm import copies
+from lograft.llm import copies, simhash
+from lograft.llm.components import components
 from tests.llm.helpers import docs, rows_of
 
 
@@ -88,3 +89,35 @@ def test_groups_of_many_parts(spark):
     assert 1 < len(set(want.values())) < 20
     for tile, part in ((1 << 23, 1 << 18), (1 << 23, 1500), (3000, 1500)):
         assert dict(rows_of(copies.near_copies(docs(spark, rows), tile=tile, part=part))) == want
+
+
+def test_stage_takes_candidates_from_fingerprints(spark, monkeypatch):
+    """All groups of op2 are tied by fingerprints and then checked: equal fingerprints of unlike sets are no copies."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    rows = corpus() + [(1000 + i, "x y z " * 60 + " ".join(word() for _ in range(8))) for i in range(5)]
+    table = docs(spark, rows)
+    of_op2 = {r["doc_id"]: r for r in simhash.near_groups(table).collect()}
+    assert {of_op2[1000 + i]["component_id"] for i in range(5)} == {1000}
+    nodes = spark.createDataFrame([(i, int(r["fingerprint"], 16) - (1 << 64) * (r["fingerprint"] > "7fffffffffffffff")) for i, r in of_op2.items()], "node long, fp long")
+    tied = dict(rows_of(components(copies._near_prints(nodes, 3), "a", "b")))
+    groups = {}
+    for i, r in of_op2.items():
+        groups.setdefault(r["component_id"], set()).add(tied.get(i, i))
+    assert all(len(g) == 1 for g in groups.values()) and sum(len(g) for g in groups.values()) == len(set.union(*groups.values()))
+    asked, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda prints, col, radius: asked.append(radius) or links(prints, col, radius))
+    kept = {r[0] for r in rows_of(P.keep_one_of_near(spark, table, ""))}
+    assert asked == [3] and kept == set(brute(rows)[0].values())
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    """Links that are stars from the start are returned without a contraction, others as before."""
+    from lograft.llm import components as C
+
+    rounds, stars = [], C._stars
+    monkeypatch.setattr(C, "_stars", lambda *x: rounds.append(1) or stars(*x))
+    star = spark.createDataFrame([(1, 5), (6, 1), (1, 6), (3, 9), (4, 4)], "a long, b long")
+    assert sorted(rows_of(components(star, "a", "b"))) == [(5, 1), (6, 1), (9, 3)] and not rounds
+    path = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(50, 60), (40, 60)], "a long, b long")
+    assert dict(rows_of(components(path, "a", "b"))) == {k: 0 for k in range(1, 21)} | {50: 40, 60: 40} and rounds
