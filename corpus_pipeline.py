@@ -79,12 +79,14 @@ def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     keyed = docs.select(_key().alias("key"), "text")
     groups = cut(copies.near_copies(keyed, "key", radius=RADIUS), "groups")
-    kept = _without(docs, _keys(groups.filter(F.col("key") != F.col("component_id")), "key"))
-    again = _keys(groups.groupBy("key").count().filter("count > 1"), "key")
-    clear, maybe = _split(kept, again)
-    often = maybe.join(again.hint("merge"), ["d", "h"], "left_semi").dropDuplicates(["d", "h"])
-    rare = maybe.join(again.hint("merge"), ["d", "h"], "left_anti")
-    return clear.unionByName(rare).unionByName(often).select(*COLUMNS)
+    known = groups.groupBy("key").agg(F.count("*").alias("n"), F.first("component_id").alias("least"))
+    known = known.select("key", (F.col("key") != F.col("least")).alias("goes"), "n").filter("goes or n > 1")
+    marks = known.select(F.xxhash64("key.id").alias("d"), F.col("key.h").alias("h"), "goes")
+    marks = cut(marks.groupBy("d", "h").agg(F.max("goes").alias("goes")), "keys")
+    clear, maybe = _split(docs, marks)
+    met = maybe.join(marks.hint("merge"), ["d", "h"], "left")
+    often = met.filter("not goes").dropDuplicates(["d", "h"])
+    return clear.unionByName(met.filter("goes is null").drop("goes")).unionByName(often.drop("goes")).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -121,3 +121,26 @@ def test_stars_take_no_round(spark, monkeypatch):
     assert sorted(rows_of(components(star, "a", "b"))) == [(5, 1), (6, 1), (9, 3)] and not rounds
     path = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(50, 60), (40, 60)], "a long, b long")
     assert dict(rows_of(components(path, "a", "b"))) == {k: 0 for k in range(1, 21)} | {50: 40, 60: 40} and rounds
+
+
+def test_rounds_plan_little(spark, monkeypatch):
+    """What a round of ``components`` writes is planned once, not again inside the next step: the driver holds all plans."""
+    from lograft.llm import components as C
+
+    sizes, cut = [], C.cut
+    lines = lambda df: df._jdf.queryExecution().executedPlan().treeString().count("\n")
+    monkeypatch.setattr(C, "cut", lambda df, name: sizes.append(lines(df)) or cut(df, name))
+    hub, path = [(0, k) for k in range(1, 1500)], [(k, k + 1) for k in range(2000, 2030)]
+    got = dict(rows_of(components(spark.createDataFrame(hub + path, "a long, b long"), "a", "b")))
+    assert got == {k: 0 for k in range(1, 1500)} | {k: 2000 for k in range(2001, 2031)}
+    assert len(sizes) > 5 and max(sizes) < 120
+
+
+def test_stage_writes_a_small_plan(spark):
+    """Rows that go and rows that repeat are told apart in one join; repeated rows keep one, null ids too."""
+    text = "one two three four five six seven eight"
+    rows = [(None, text), (None, text), (7, text), (8, "other words that nobody else has here"), (8, "other words that nobody else has here"), (9, "third")]
+    kept = P.keep_one_of_near(spark, docs(spark, rows), "")
+    assert kept._jdf.queryExecution().executedPlan().treeString().count("\n") < 120
+    assert sorted((r[0], r[1]) for r in rows_of(kept) if r[0]) == [(8, rows[3][1]), (9, "third")]
+    assert [r[1] for r in rows_of(kept) if r[0] is None] == [text]
