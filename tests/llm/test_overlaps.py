@@ -33,3 +33,17 @@ def test_any_two_substitutions_in_a_window(spark):
     for bound in (1_000_000, 0):
         got = {r[0]: r[2:] for r in rows_of(decontaminate.overlaps(docs(spark, rows), bench, broadcast_seeds=bound))}
         assert got == {n: brute(t.split(), item) for n, t in rows}
+
+
+def test_memory_does_not_grow_with_items(spark):
+    """Copies of items are matched once, and no query holds more than one block of them: every pair is found all the same."""
+    rng = random.Random(8)
+    items = [[f"v{rng.randrange(400)}" for _ in range(n)] for n in (30, 13, 12, 11, 6, 5, 3, 1)] + [[f"u{i}w{k}" for k in range(14)] for i in range(12)]
+    rows = [(n, " ".join(["a", *t[n % 2 :], "z"])) for n, t in enumerate(items)] + [(500, " ".join(items[0] + items[1])), (501, "nothing here")]
+    bench = spark.createDataFrame([(i + 1000 * c, " ".join(t)) for i, t in enumerate(items) for c in range(40)] + [(5000, " ".join(items[0])), (5000, " ".join(items[8]))], "item_id long, text string")
+    got = {bound: decontaminate.overlaps(docs(spark, rows), bench, broadcast_seeds=bound) for bound in (1_000_000, 100, 0)}
+    found = [{r[:2]: r[2:] for r in rows_of(df)} for df in got.values()]
+    assert found[0] == found[1] == found[2] and all({(n, n + 1000 * c) for c in range(40)} <= set(found[0]) for n in (0, 2, 4, 8, 19))
+    assert {(0, 5000), (8, 5000), (500, 0), (500, 39001)} <= set(found[0]) and not any(i == 501 for i, _ in found[0])
+    for df in got.values():
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 3
