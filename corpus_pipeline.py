@@ -96,7 +96,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     beyond those of documents are left out, empty tables give what they hold.
     """
     keyed = docs.select(_key().alias("key"), "text")
-    found = decontaminate.overlaps(keyed, table(spark, sf_dir, "benchmark"), "key")
+    found = decontaminate.contaminated(keyed, table(spark, sf_dir, "benchmark"), "key")
     return _without(docs, _keys(found, "key"))
 
 

@@ -154,3 +154,12 @@ def overlaps(
         F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("best.matched").alias("matched"),
         (-F.col("best.doc_word")).alias("doc_word"), (-F.col("best.item_word")).alias("item_word"),
     )
+
+
+def contaminated(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    item_col: str = "item_id", window: int = 12, share: float = 0.8, broadcast_seeds: int = 1_000_000,
+) -> DataFrame:
+    """The distinct ``id_col`` of ``overlaps``: no row is made for each item that a document overlaps."""
+    found = _matches(docs, _known(items, item_col), id_col, text_col, window, share, broadcast_seeds)
+    return found.select(F.col("id").alias(id_col)).distinct()

@@ -47,3 +47,27 @@ def test_memory_does_not_grow_with_items(spark):
     assert {(0, 5000), (8, 5000), (500, 0), (500, 39001)} <= set(found[0]) and not any(i == 501 for i, _ in found[0])
     for df in got.values():
         assert df._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 3
+
+
+def test_contaminated_makes_no_row_for_each_item(spark):
+    """The pipeline's stage drops the documents that overlap an item, and no plan of it meets documents with copies of items."""
+    import corpus_pipeline
+    from lograft.llm import common
+
+    item = [f"w{k}" for k in range(14)]
+    rows = [(n, " ".join([f"a{n}", *item, "z"]) if n % 3 else f"b{n} c") for n in range(30)] + [(None, " ".join(item)), (None, None), (1, "")]
+    bench = spark.createDataFrame([(c, " ".join(item)) for c in range(200)] + [(None, " ".join(item)), (900, None)], "item_id long, text string")
+    want = {r[0] for r in rows_of(decontaminate.overlaps(docs(spark, rows), bench))}
+    for bound in (1_000_000, 0):
+        got = rows_of(decontaminate.contaminated(docs(spark, rows), bench, broadcast_seeds=bound))
+        assert {r[0] for r in got} == want == {n for n in range(30) if n % 3} | {None} and len(got) == len(want)
+    taken, plain, keys = corpus_pipeline.table, common.table, corpus_pipeline._keys
+    plans = []
+    corpus_pipeline.table = lambda s, d, name: bench if name == "benchmark" else plain(s, d, name)
+    corpus_pipeline._keys = lambda df, key: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keys(df, key)
+    try:
+        kept = corpus_pipeline.drop_contaminated(spark, docs(spark, rows), "")
+        assert sorted((r["text"] for r in kept.collect()), key=str) == sorted((t for _, t in rows if not t or t.startswith("b")), key=str)
+    finally:
+        corpus_pipeline.table, corpus_pipeline._keys = taken, keys
+    assert plans[0].count("Join") <= 2
