@@ -1,11 +1,13 @@
 """Parsing records and reaching, testing, changing and printing what is in them.
 
 Two views of a record are served: a struct with a declared or discovered schema (``schema_of`` gives
-it), and a variant for records of any shape. All functions are plain column expressions.
+it), and a variant for records of any shape. All functions are plain column expressions but ``compact_json_text``.
 """
 
 from __future__ import annotations
 
+import gc
+import json
 import re
 from collections.abc import Callable
 from itertools import product
@@ -431,6 +433,67 @@ def to_compact_json(col: Column | str, kind: T.DataType) -> Column:
     return F.to_json(pruned(_col(col), kind))
 
 
+class _Odd(ValueError):
+    """Text that plain reading would print otherwise than a variant does."""
+
+
+def _refuse(token: str) -> None:
+    raise _Odd
+
+
+def _integer(token: str) -> int:
+    if len(token) > 17 or token == "-0":
+        raise _Odd
+    return int(token)
+
+
+def _items(values: list) -> list:
+    return [_items(x) if x.__class__ is list else x for x in values if x is not None]
+
+
+def _members(pairs: list[tuple]) -> dict:
+    held = dict(pairs)
+    if len(held) != len(pairs):
+        raise _Odd
+    for name, x in pairs:
+        if x is None:
+            del held[name]
+        elif x.__class__ is list:
+            held[name] = _items(x)
+    return held
+
+
+_read = json.JSONDecoder(object_pairs_hook=_members, parse_float=_refuse, parse_int=_integer, parse_constant=_refuse).decode
+_print = json.JSONEncoder(ensure_ascii=False, sort_keys=True, check_circular=False, separators=(",", ":")).encode
+
+
+def _plain_without_nulls(text: str | None) -> str | None:
+    """JSON text as a variant prints it, without nulls; none where that is not sure: fractions, long integers, names that
+    repeat, written-out code points, signs beyond the basic plane, very long texts, and what is no JSON."""
+    if text is None or len(text) > 1 << 20 or "\\u" in text or not text.isascii() and max(text) > "\uffff":
+        return None
+    collects = gc.isenabled()
+    gc.disable()  # what is read holds no cycles, and is walked again and again where it is deep
+    try:
+        value = _read(text)
+        return _print(_items(value) if value.__class__ is list else value)
+    except (ValueError, RecursionError):
+        return None
+    finally:
+        if collects:
+            gc.enable()
+
+
+def compact_json_text(text: Column | str) -> Column:
+    """``to_compact_json`` of the variant that JSON text holds; plain text is read and printed row by row, nulls left out as it is read.
+
+    The rest, and what is no JSON (an error), goes the way of variants, so results are the same. A variant is printed
+    with a new generator for every name and string, which takes most of the time on deep records.
+    """
+    plain = F.udf(_plain_without_nulls, T.StringType(), useArrow=True)(_col(text))
+    return F.coalesce(plain, to_compact_json(F.parse_json(_col(text)), T.VariantType()))
+
+
 def to_pretty_json(col: Column | str, kind: T.DataType) -> Column:
     """Indented JSON without nulls."""
     return F.to_json(pruned(_col(col), kind), {"pretty": "true"})

@@ -490,11 +490,12 @@ def level_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("""SELECT line_no, repeat('{"a":[{"b":', (line_no % 300)::INT) || '{"k":' || k || ',"s":"x' || chr(92) || '":null,[null]:null","u":' || user_id || ',"z":[{}]}' || repeat('}]}', (line_no % 300)::INT) AS text FROM w""")
 def nulls_at_any_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records up to 600 levels deep with nulls on each, printed without them."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))  # ten thousand deep records must not meet in one Python worker
     core = F.to_json(F.struct(F.expr("cast(get_json_object(props, '$.k') as bigint)").alias("k"), F.lit(None).cast("string").alias("n"), F.lit('x":null,[null]:null').alias("s"), F.col("user_id").alias("u")), {"ignoreNullFields": "false"})
     deep = (F.col("event_id") % 300).cast("int")
     text = F.concat(F.repeat(F.lit('{"a":[null,{"n":null,"b":'), deep), F.regexp_replace(core, "}$", ',"z":[null,{"y":null},null]}'), F.repeat(F.lit('},null],"c":null}'), deep))
-    lines = C.computed_once(W.written(spark, sf_dir, spread=True).select("event_id", "user_id", "props"), text=text)
-    return lines.select(F.col("event_id").alias("line_no"), R.to_compact_json(F.parse_json("text"), T.VariantType()).alias("text"))
+    lines = C.computed_once(W.events(spark, sf_dir, spread=True).select("event_id", "user_id", "props"), text=text)
+    return lines.select(F.col("event_id").alias("line_no"), R.compact_json_text("text").alias("text"))
 
 
 _PATHS = """SELECT line_no, unnest(['$', '$.timestamp', '$.data', '$.data.user_id', '$.data.k', '$.data.tags', '$.data.tags[]']) AS path,

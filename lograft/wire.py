@@ -46,16 +46,20 @@ def _record() -> list[Column]:
     ]
 
 
+def events(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """All events; ``spread`` as for ``written``."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return e.repartition(tasks, "event_id", "ts") if spread else e
+
+
 def written(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """All columns of every event, and ``js``, the record as it is written, before any dirt.
 
     With ``spread`` events are dealt to all cores first: a file of few row groups is read by few tasks,
     too few where an event of some bytes becomes kilobytes of text or much work.
     """
-    e, record = spark.read.parquet(f"{sf_dir}/events.parquet"), _record()
-    if spread:
-        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-        e = e.repartition(tasks, "event_id", "ts")
+    e, record = events(spark, sf_dir, spread), _record()
     nulls = F.col("event_id") % 7 == 0
     return computed_once(e, js=F.when(nulls, lines_from_table(*record, nulls=True)).otherwise(lines_from_table(*record)))
 

@@ -161,3 +161,35 @@ def test_nulls_go_without_a_step_a_piece(spark):
     plan = df.select(R.without_nulls(F.col("t")))._jdf.queryExecution().toString()
     assert "regexp_extract_all" not in plan and "filter(" not in plan
     assert Q.nulls_at_any_depth(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > spark.read.parquet("/root/testdata/sf0.001/events.parquet").rdd.getNumPartitions()
+
+
+def test_plain_text_prints_as_its_variant(spark):
+    """Text read row by row prints as its variant does, odd text too; deep records no longer print a name at a time, nor make lines nobody reads."""
+    import random
+
+    from pyspark.sql import types as T
+
+    from lograft import queries as Q
+
+    odd = [
+        '{"b":1,"a":2}', '{"a":1.50,"b":null}', '{"a":1e3}', '{"a":-0}', '{"a":123456789012345678901}', '{"a":[1,null,[null,[null]]]}', '"\\u001f\\ud83d\\ude00"', "null", " [ null , 1 ] ",
+        '{"é":1,"z":null,"\U0001f600":2,"\uffee":3}', '{"a":"\\b\\f\\n\\r\\t\\"\\\\/"}', '{"a":"x\x7f\u2028"}', "[]", "{}", '{"":null,"A":{"":{}}}', '{"a":true,"b":false}', None, "17", '{"n":"null","m":[",null"]}', '"\\/"',
+    ]
+    rng = random.Random(5)
+
+    def made(depth):
+        kind = rng.randrange(7 if depth else 4)
+        if kind < 4:
+            return ["null", str(rng.randrange(-99, 10**rng.randrange(1, 19))), '"q\\"uo,null:te"', rng.choice(("true", "0.5", '"ü"', "-1"))][kind]
+        inner = [made(depth - 1) for _ in range(rng.randrange(5))]
+        return "[" + ", ".join(inner) + "]" if kind == 4 else "{" + ",".join(f'"k{n * 7 % 5}" :{x}' for n, x in enumerate(inner)) + "}"
+
+    texts = odd + [made(5) for _ in range(400)] + ['[{"a":[null,' * 200 + "1" + ',null],"b":null}]' * 200]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.select("t", R.compact_json_text("t").alias("new"), R.to_compact_json(F.parse_json("t"), T.VariantType()).alias("old")).collect()
+    assert [r for r in got if r["new"] != r["old"]] == []
+    assert sum(R._plain_without_nulls(t) is not None for t in texts) > 200
+    for bad in ('{"a":1,"a":null}', "{null}", '[1,null,]', '{"a":NaN}', "{"):
+        with pytest.raises(Exception):  # noqa: B017
+            spark.createDataFrame([(bad,)], "t string").select(R.compact_json_text("t")).collect()
+    assert "date_format" not in Q.nulls_at_any_depth(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
